@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup
+from . import language_id, mixing, near_dedup, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op3_pack_sequences": packing.op3_pack_sequences,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
