@@ -26,14 +26,14 @@ SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 12
 WINDOW, HOP = 8, 4
-#: Labelled documents that training reads at most, of each label; chosen by a hash of doc_id.
-MOST_TRAINED = 2500
+#: Labelled documents that training reads at most, with label 0 and with label 1; chosen by a hash of doc_id.
+MOST_TRAINED = (4000, 2500)
 REJECT = 0.7
 #: Rounds of picking windows, and gradient steps in each.
 ROUNDS, STEPS = 10, 30
-RATE, MOMENTUM, DECAY, SCALE = 0.6, 0.9, 1e-5, 20.0
+RATE, MOMENTUM, DECAY, SCALE = 0.6, 0.9, 3e-4, 20.0
 #: Documents an n-gram must occur in to be learned.
-LEAST = 3
+LEAST = 6
 
 _KEY = np.random.default_rng(7).integers(0, 1 << 32, 8, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _letters: np.ndarray | None = None
@@ -224,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled documents whose remainder is not 1, at most ``MOST_TRAINED`` of each label."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter((remainder(3) != 1) & F.col("toxic").isin(0, 1))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    picked = known.filter("toxic = 1").orderBy(order).limit(MOST_TRAINED).union(known.filter("toxic = 0").orderBy(order).limit(MOST_TRAINED))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy("doc_id", "text").limit(4 * MOST_TRAINED).select("text", "toxic").toArrow()
+    picked = known.filter("toxic = 1").orderBy(order).limit(MOST_TRAINED[1]).union(known.filter("toxic = 0").orderBy(order).limit(MOST_TRAINED[0]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy("doc_id", "text").limit(4 * sum(MOST_TRAINED)).select("text", "toxic").toArrow()
     return train(rows["text"].to_pylist(), rows["toxic"].to_numpy())
 
 
