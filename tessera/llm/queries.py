@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, language_model, mixing, near_dedup, packing, spotsigs, toxicity
+from . import language_id, language_model, mixing, near_dedup, packing, secrets, spotsigs, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_pack_sequences": packing.op3_pack_sequences,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
         "op5_spot_signatures": spotsigs.op5_spot_signatures,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language_model": language_model.op8_language_model,
         "op10_mix_sources": mixing.op10_mix_sources,
