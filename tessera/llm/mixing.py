@@ -74,22 +74,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
 def _ranked(sized: DataFrame, weights: tuple[float, ...], most: int, seed: str) -> DataFrame:
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % SALTS
+    # A null source has the key "\0", so that windows and joins share one plain hash partitioning.
+    key = F.coalesce("source", F.lit("\0"))
     kept = [c for c in sized.columns if c not in ("source", "size")]
-    d = sized.select("source", "size", _size_class(F.col("size")).alias("_class"), salt.alias("_salt"), F.struct(*kept).alias("_row"))
-    counts = d.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
-    plan = targets(counts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most)
-    along = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("p.source"), F.lit("\0"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).select("source", "_class", "_salt", "_before")
-    starts = starts.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_e"), u.alias("_u"))
-    within = Window.partitionBy("source", "_class", "_salt").orderBy("size", F.col("_row.doc_id").asc_nulls_last(), F.xxhash64("_row.text"))
-    ranked = d.withColumn("_rn", F.row_number().over(within))
-    j = ranked.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._class") == F.col("s._class")) & (F.col("d._salt") == F.col("s._salt")))
+    d = sized.select(key.alias("_key"), "source", "size", _size_class(F.col("size")).alias("_class"), salt.alias("_salt"), F.struct(*kept).alias("_row"))
+    counts = d.groupBy("_key", "_class", "_salt").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    plan = targets(counts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most).withColumn("_key", key)
+    along = Window.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    starts = counts.select("_key", "_class", "_salt", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    starts = starts.join(plan.drop("source"), "_key").withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("_u", u)
+    within = Window.partitionBy("_key", "_class", "_salt").orderBy("size", F.col("_row.doc_id").asc_nulls_last(), F.xxhash64("_row.text"))
+    j = d.withColumn("_rn", F.row_number().over(within)).join(starts, ["_key", "_class", "_salt"])
     rank = F.col("_before") + F.col("_rn")
     copies = (F.floor(F.col("_e") * rank + F.col("_u")) - F.floor(F.col("_e") * (rank - 1) + F.col("_u"))).cast("long")
     # A product that rounds across an integer may add a crossing; never go above the stated most.
     j = j.withColumn("copies", F.least(copies, F.lit(most).cast("long")))
-    return j.select(*[F.col(f"_row.{c}").alias(c) for c in kept], F.col("d.source").alias("source"), F.col("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return j.select(*[F.col(f"_row.{c}").alias(c) for c in kept], "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
