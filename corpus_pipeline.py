@@ -1,15 +1,65 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline: toxic documents go, near duplicates are thinned, secrets masked, sources mixed, sequences packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents. No stage but the
+mix drops a document that its decision does not concern.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, near_dedup, packing, secrets, toxicity
+from tessera.llm.shared import save, workspace
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the rejection threshold of a model fitted to the labelled ones among them."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, docs.columns)
+    return scored.filter(F.col("score") < toxicity.REJECT).drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component at five-word shingles and similarity 0.8; of rows with one doc_id the first by text."""
+    found = near_dedup.near_duplicates(docs, width=5, percent=80)
+    gone = found.filter("NOT kept").select("doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_nth", nth)
+    return left.filter("doc_id IS NULL OR _nth = 1").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mask."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
-STAGES: list = []
+#: Model scores, MinHash and tokenizers have no SQL; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"{path}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
