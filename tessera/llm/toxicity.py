@@ -27,11 +27,13 @@ BUCKETS = 1 << 18
 DIM = 12
 WINDOW, HOP = 8, 4
 #: Labelled documents that training reads at most, with label 0 and with label 1; chosen by a hash of doc_id.
-MOST_TRAINED = (4000, 2500)
+MOST_TRAINED = (3500, 2000)
 REJECT = 0.7
 #: Rounds of picking windows, and gradient steps in each.
 ROUNDS, STEPS = 10, 30
 RATE, MOMENTUM, DECAY, SCALE = 0.6, 0.9, 3e-4, 20.0
+#: An empty bag is no evidence: the bias alone never gets far on the side of label 1.
+MOST_BIAS = -1.5
 #: Documents an n-gram must occur in to be learned.
 LEAST = 6
 
@@ -209,7 +211,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int
             v_bias = MOMENTUM * v_bias - 0.5 * float(g.sum())
             emb += v_emb
             soft += v_soft
-            bias += v_bias
+            bias = min(bias + v_bias, MOST_BIAS)
     table = np.zeros(BUCKETS)
     table[words.used] = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))
     return Model(table, bias)
@@ -225,20 +227,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter((remainder(3) != 1) & F.col("toxic").isin(0, 1))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = known.filter("toxic = 1").orderBy(order).limit(MOST_TRAINED[1]).union(known.filter("toxic = 0").orderBy(order).limit(MOST_TRAINED[0]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy("doc_id", "text").limit(4 * sum(MOST_TRAINED)).select("text", "toxic").toArrow()
-    return train(rows["text"].to_pylist(), rows["toxic"].to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy("doc_id", "text").limit(4 * sum(MOST_TRAINED)).select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        m = train(texts, np.array(labels))
+        yield pa.RecordBatch.from_pydict({"table": [m.table.tobytes()], "bias": [m.bias]})
+
+    # The sample is bounded, so one task trains; its memory is a worker's and not the driver's.
+    found = rows.coalesce(1).mapInArrow(run, "table binary, bias double").collect()
+    return Model(np.frombuffer(found[0].table, np.float32), found[0].bias) if found else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and ``score``, the model's probability of label 1; null scores as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
-    kept = docs.select(*keep, "text")
-    schema = kept.schema[: len(keep)] if keep else []
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    schema, at = kept.schema[: len(keep)], kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            text = plain(batch.column(len(keep)))
+            text = plain(batch.column(at))
             parts = [m.score(text.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(text, 2 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*keep, "score"])
 

@@ -25,7 +25,7 @@ def test_unseen_misspellings():
     y = np.array([i % 2 for i in range(200)])
     m = train([doc(v) for v in y], y)
     p = m.score(["staing " * 30 + "grobnik " + "mored " * 500, "staing " * 30 + "grobnyx " + "mored " * 500, "staing lenor " * 400, "", " "])
-    assert p[0] > 0.7 and p[1] > 0.7 and p[2] < 0.3 and p[3] < 0.7 and p[3] == p[4]
+    assert p[0] > 0.7 and p[1] > 0.7 and p[2] < 0.3 and p[3] < 0.7 and p[3] == p[4], p
 
 
 def test_held_out(spark):
