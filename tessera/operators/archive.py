@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, paths, udfs
 from ..functions.enums import STORED, EntryFlag, parse_checksum, parse_codec
 from .ordering import in_order
+from .work import keep
 
 BLOCK_HEADER, ALIGNMENT, FIXED_HEADER = 32, 64, 48
 
@@ -144,10 +145,11 @@ def chunks(planned: DataFrame, options: WriteOptions) -> DataFrame:
 
 
 def build_archive(entries: DataFrame, options: WriteOptions | None = None) -> ArchiveTables:
-    """The archive tables of ``entries``; nothing is computed until they are used.
+    """The archive tables of ``entries``.
 
     Files are numbered by name, equal files share spans if asked for, content is cut into blocks that
-    never mix files, blocks are encoded and checksummed as stored, and laid out in id order.
+    never mix files, blocks are encoded and checksummed as stored, and laid out in id order. Numbered entries and
+    encoded blocks are kept in the shared folder, so every file is read and every block encoded once.
     """
     o = options or WriteOptions()
     e = number_files(entries)
@@ -156,6 +158,7 @@ def build_archive(entries: DataFrame, options: WriteOptions | None = None) -> Ar
         e = canonical_files(e)
     else:
         e = e.withColumn("canonical_id", F.col("file_id"))
+    e = keep(e, "entries")
     shared = F.when(F.col("canonical_id") != F.col("file_id"), int(EntryFlag.SHARED_SPANS)).otherwise(0)
     is_file = F.col("entry_type") == "file"
     has_hash = is_file if o.hashes else F.lit(False)
@@ -175,7 +178,8 @@ def build_archive(entries: DataFrame, options: WriteOptions | None = None) -> Ar
     raw = raw.select((F.col("first_block") + F.col("k")).alias("block_id"), F.substring("content", F.col("k") * size + 1, size).alias("raw")) if o.multiblock else raw.select(F.col("first_block").alias("block_id"), F.col("content").alias("raw"))
     blocks = raw.select("block_id", F.octet_length("raw").cast("long").alias("raw_size"), udfs.compress(F.col("raw"), o.codec, o.level).alias("payload"))
     blocks = blocks.withColumn("stored_size", F.octet_length("payload").cast("long")).withColumn("checksum", udfs.block_checksum(F.col("payload"), o.checksum))
-    return ArchiveTables(files, spans, lay_out(blocks.withColumn("comp_algo", F.lit(o.codec)).withColumn("checksum_type", F.lit(o.checksum)), o), o)
+    blocks = keep(blocks.withColumn("comp_algo", F.lit(o.codec)).withColumn("checksum_type", F.lit(o.checksum)), "blocks")
+    return ArchiveTables(files, spans, lay_out(blocks, o), o)
 
 
 def spans_of(files: DataFrame, chunked: DataFrame) -> DataFrame:
