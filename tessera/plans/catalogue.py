@@ -17,6 +17,7 @@ from ..functions.enums import EntryFlag
 from ..operators import archive as ar
 from ..operators import content, diffing, listing, minhash, names, vectors
 from ..operators.ordering import in_order
+from ..operators.work import keep
 
 BLOCK = 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,14 +526,14 @@ def minhash_sketch(spark, sf):
 @query()
 def minhash_search(spark, sf):
     """All documents that share a lane with the first one."""
-    index = minhash.build(texts(spark, sf), 128, 32)
+    index = keep(minhash.build(texts(spark, sf), 128, 32), "index")
     first = index.orderBy("file_id").select("name").first()
     return minhash.MinHashSearcher().search(index, first.name) if first else index.select("name", F.lit(0.0).alias("score"))
 
 
 @query()
 def minhash_top_n(spark, sf):
-    index = minhash.build(texts(spark, sf), 128, 32)
+    index = keep(minhash.build(texts(spark, sf), 128, 32), "index")
     item = table(spark, sf, "benchmark").orderBy("item_id").select("text").first()
     return minhash.MinHashSearcher().search(index, item.text.encode() if item else b"", 5)
 
