@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import save, workspace
+
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often than this.
 MOST_COPIES = 3
@@ -94,10 +96,10 @@ def _ranked(sized: DataFrame, weights: tuple[float, ...], most: int, seed: str)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """The mix over all documents; the texts themselves are counted, not moved."""
+    """The mix over all documents; the texts are counted once and never moved."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "source", F.lit(None).cast("string").alias("text"), word_count(F.col("text")).alias("size"))
-    out = _ranked(sized, WEIGHTS, MOST_COPIES, SEED)
+    sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), f"{workspace(spark, 'mix')}/sizes")
+    out = _ranked(sized.withColumn("text", F.lit(None).cast("string")), WEIGHTS, MOST_COPIES, SEED)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
