@@ -23,7 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def negative_square_distance(a: Column, b: Column) -> Column:
-    return -F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return F.lit(0.0) - F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
 def reference(df: DataFrame, key: str, vector: str) -> list[float]:

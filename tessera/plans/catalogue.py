@@ -456,7 +456,7 @@ def names_sorted(spark, sf):
 _VEC = """r AS (SELECT CAST(embedding AS DOUBLE[]) AS ref FROM embeddings ORDER BY vec_id LIMIT 1),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, ref FROM embeddings, r),
 sim AS (SELECT vec_id, CASE WHEN sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(ref, ref)) < 1e-8 THEN 0.0 ELSE list_inner_product(e, ref) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(ref, ref))) END AS cosine,
-  -list_sum(list_transform(list_zip(e, ref), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS euclidean FROM v)"""
+  0.0 - list_sum(list_transform(list_zip(e, ref), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS euclidean FROM v)"""
 
 
 @query(f"WITH {_VEC} SELECT vec_id, round(cosine, 6) AS similarity FROM sim")
@@ -490,10 +490,10 @@ def vector_batched_order(spark, sf):
     return in_order(b, ["_major", "vec_id"], "position").select("position", "batch", "vec_id", "bin")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(greatest(-127, least(127, CAST(round(CAST(x AS DOUBLE) * 127.0) AS INTEGER))) / 127.0 AS FLOAT) AS DOUBLE))), 4) AS total FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(greatest(-127, least(127, CAST(round(CAST(x AS DOUBLE) * 127.0) AS INTEGER))) / 127.0 AS FLOAT) AS DOUBLE))), 3) + 0.0 AS total FROM embeddings")
 def int8_decode(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", vectors.encode_int8(F.col("embedding")).alias("q"))
-    return e.select("vec_id", F.round(F.aggregate(vectors.decode_int8(F.col("q")), F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+    return e.select("vec_id", (F.round(F.aggregate(vectors.decode_int8(F.col("q")), F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @query("SELECT count(*) AS n_items, CAST(max(len(embedding)) * 4 AS BIGINT) AS bytes_per_item, CAST(count(*) * max(len(embedding)) * 4 AS BIGINT) AS estimated_bytes FROM embeddings")
