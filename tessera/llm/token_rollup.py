@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import word_count
-from .shared import workspace
+from .shared import save, workspace
 
 KEY = ("source", "lang", "tokenizer_version")
 SUMS = ("docs", "tokens", "chars")
@@ -132,15 +132,31 @@ def maintain(docs: DataFrame, path: str, versions: tuple[str, ...] = tuple(COUNT
     ``docs`` is (text, source, lang, any others); null sources and languages are keys of their own; null texts
     count no tokens. An empty table leaves empty totals.
     """
-    r = Rollup(docs.sparkSession, path)
-    d = docs.select("source", "lang", "text", F.regexp_replace("text", "[0-9]+", "").alias("new"))
-    r.commit("load", changes(d, versions, 1))
-    r.commit("revise", revisions(d, versions, "text", "new"))
-    extra = d.select("source", "lang", F.sha2(F.coalesce("new", F.lit("\0")).cast("binary"), 256).alias("h"), F.coalesce(F.length("new"), F.lit(0)).cast("long").alias("chars"), *[COUNTERS[v](F.col("new")).alias(f"n{i}") for i, v in enumerate(versions)])
-    copies = extra.groupBy("source", "lang", "h").agg(F.count(F.lit(1)).alias("k"), F.first("chars").alias("chars"), *[F.first(f"n{i}").alias(f"n{i}") for i in range(len(versions))]).filter("k > 1")
-    gone = copies.select("source", "lang", (1 - F.col("k")).alias("docs"), "chars", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"n{i}").alias("n")) for i, v in enumerate(versions)])).alias("c"))
-    r.commit("dedup", gone.select("source", "lang", F.col("c.v").alias("tokenizer_version"), "docs", (F.col("docs") * F.col("c.n")).alias("tokens"), (F.col("docs") * F.col("chars")).alias("chars")))
-    r.commit("revise", revisions(d, versions, "text", "new"))
+    spark = docs.sparkSession
+    r = Rollup(spark, path)
+    new = F.regexp_replace("text", "[0-9]+", "")
+
+    def counts(text: Column) -> Column:
+        return F.array(*[COUNTERS[v](text) for v in versions])
+
+    def chars(text: Column) -> Column:
+        return F.coalesce(F.length(text), F.lit(0)).cast("long")
+
+    # Texts are counted once; all batches are made from this slim table.
+    d = docs.select("source", "lang", "text", new.alias("new"))
+    d = d.select("source", "lang", chars(F.col("text")).alias("c0"), chars(F.col("new")).alias("c1"), counts(F.col("text")).alias("n0"), counts(F.col("new")).alias("n1"), F.sha2(F.coalesce("new", F.lit("\0")).cast("binary"), 256).alias("h"))
+    d = save(d, f"{workspace(spark, 'counts')}/texts")
+
+    def signed(rows: DataFrame, n: str, c: str, times: Column) -> DataFrame:
+        rows = rows.select("source", "lang", times.cast("long").alias("docs"), F.col(c).alias("chars"), F.explode(F.arrays_zip(F.array(*map(F.lit, versions)).alias("v"), F.col(n).alias("n"))).alias("z"))
+        return rows.select("source", "lang", F.col("z.v").alias("tokenizer_version"), "docs", (F.col("docs") * F.col("z.n")).alias("tokens"), (F.col("docs") * F.col("chars")).alias("chars"))
+
+    revise = signed(d, "n0", "c0", F.lit(-1)).unionByName(signed(d, "n1", "c1", F.lit(1)))
+    copies = d.groupBy("source", "lang", "h").agg(F.count(F.lit(1)).alias("k"), F.first("c1").alias("c1"), F.first("n1").alias("n1")).filter("k > 1")
+    r.commit("load", signed(d, "n0", "c0", F.lit(1)))
+    r.commit("revise", revise)
+    r.commit("dedup", signed(copies, "n1", "c1", 1 - F.col("k")))
+    r.commit("revise", revise)
     r.compact()
     return r
 
