@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,26 +82,37 @@ class Encoder:
     def one(self, unit: bytes) -> np.ndarray:
         return np.array(self.t.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
 
-    def many(self, units: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(units)
-        together = []
-        for i, u in enumerate(units):
-            if self.mark is None or b"<|" in u or _BREAK in u:
-                out[i] = self.one(u)
-            else:
-                together.append(i)
-        for lo in range(0, len(together), 2000):
-            part = together[lo : lo + 2000]
-            text = (b" " + _BREAK + b" ").join(units[i] for i in part).decode("utf-8", "replace")
-            ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(pieces) != len(part):
-                pieces = [self.one(units[i]) for i in part]
-            else:
-                pieces = [pieces[0], *(p[1:] for p in pieces[1:])]
-            for i, p in zip(part, pieces, strict=True):
-                out[i] = p
-        return out
+    def many(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units end to end, number of ids of each)."""
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(units), 2000):
+            part = units[lo : lo + 2000]
+            got = None
+            if self.mark is not None and not any(b"<|" in u or _BREAK in u for u in part):
+                text = (b" " + _BREAK + b" ").join(part).decode("utf-8", "replace")
+                ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                marks = np.flatnonzero(ids == self.mark)
+                if len(marks) == len(part) - 1:
+                    got = np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            if got is None:
+                ones = [self.one(u) for u in part]
+                got = np.concatenate(ones), np.array([len(o) for o in ones], np.int64)
+            flat.append(got[0])
+            sizes.append(got[1])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each one's first occurrence, number of each element's value), by a hash table."""
+    codes, values = pd.factorize(h)
+    if not len(codes):
+        return values, codes, codes
+    top = np.maximum.accumulate(codes)
+    first = np.flatnonzero(np.concatenate([[True], top[1:] > top[:-1]]))
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], first[order], rank[codes]
 
 
 def buckets_of(spark) -> int:
@@ -141,7 +153,7 @@ def build(docs: DataFrame, folder: str, tokenizer: str) -> None:
             text = plain(batch.column(0))
             for lo, hi in slices(text):
                 w = units(text.slice(lo, hi - lo))
-                h, at = np.unique(w.hashes(), return_index=True)
+                h, at, _ = distinct(w.hashes())
                 if len(seen):
                     new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
                     h, at = h[new], at[new]
@@ -160,9 +172,9 @@ def build(docs: DataFrame, folder: str, tokenizer: str) -> None:
         flat = b"".join(x.as_py() for x in table["bytes"])
         begin = np.cumsum(size) - size
         h, at = np.unique(h, return_index=True)
-        ids = Encoder(tokenizer).many([flat[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)])
-        start = np.cumsum([0, *map(len, ids)]).astype(np.int64)
-        data = np.array([len(h), start[-1]], np.int64).tobytes() + h.tobytes() + start.tobytes() + np.concatenate([*ids, np.zeros(0, np.int32)]).astype("<i4").tobytes()
+        ids, counts = Encoder(tokenizer).many([flat[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)])
+        start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        data = np.array([len(h), start[-1]], np.int64).tobytes() + h.tobytes() + start.tobytes() + ids.astype("<i4").tobytes()
         bucket = table["bucket"][0].as_py()
         put(f"{root}/{bucket}.lex", data)
         return pa.table({"n": [len(h)]})
@@ -194,7 +206,7 @@ class Lexicon:
 
     def encode(self, w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units laid end to end, number of ids of each unit)."""
-        h, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        h, first, back = distinct(w.hashes())
         bound = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
         size = np.zeros(len(h), np.int64)
         flat: list[np.ndarray] = []
@@ -226,8 +238,6 @@ def token_counts(docs: DataFrame, text: str, tokenizer: str, folder: str) -> Dat
 
     @F.pandas_udf("long")
     def count(s):
-        import pandas as pd
-
         column, lex = plain(pa.Array.from_pandas(s, type=pa.large_string())), Lexicon.open(root, tokenizer)
         out = []
         for lo, hi in slices(column):
