@@ -98,8 +98,6 @@ class _Tally:
 class Store:
     """The model's files as one worker sees them."""
 
-    _open: dict[str, Store] = {}
-
     def __init__(self, root: str, bits: int, base: list[int], ranges: Ranges | None = None, facts: dict | None = None):
         self.root, self.bits, self.base, self.ranges, self.facts = root, bits, np.array(base, np.int64), ranges, facts
         self.maps: dict[str, np.ndarray] = {}
