@@ -26,8 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
     gone = found.filter("NOT kept").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_nth", nth)
-    return left.filter("doc_id IS NULL OR _nth = 1").select(*docs.columns)
+    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_nth", nth)
+    return left.filter("_nth = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
