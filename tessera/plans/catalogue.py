@@ -317,19 +317,23 @@ def dedup_spans(spark, sf):
 # --- comparison ------------------------------------------------------------------------------
 
 
-@query(f"{_DIFF} SELECT * FROM diff")
-def diff_files(spark, sf):
+def compared(spark, sf) -> DataFrame:
     return diffing.diff_files(hashed(spark, sf), second_archive(spark, sf))
 
 
+@query(f"{_DIFF} SELECT path, status, CAST(old_size AS DOUBLE) AS old_size, CAST(new_size AS DOUBLE) AS new_size, old_hash, new_hash FROM diff")
+def diff_files(spark, sf):
+    return compared(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("old_size", "new_size")})
+
+
 @query(f"{_DIFF} SELECT status, count(*) AS n_files, CAST(sum(CASE WHEN status = 'added' THEN new_size ELSE old_size END) AS BIGINT) AS n_bytes FROM diff GROUP BY status")
 def diff_stats(spark, sf):
-    return diffing.diff_stats(diff_files(spark, sf))
+    return diffing.diff_stats(compared(spark, sf))
 
 
 @query(f"{_DIFF} SELECT count(*) AS n_files, CAST(count_if(status <> 'unchanged') AS BIGINT) AS n_changed FROM diff")
 def diff_total(spark, sf):
-    return diffing.diff_total(diff_files(spark, sf))
+    return diffing.diff_total(compared(spark, sf))
 
 
 @query(f"""{_DIFF} SELECT path, CASE status
@@ -338,7 +342,7 @@ def diff_total(spark, sf):
  ELSE 'M  ' || path || ' (' || {sql_bytes('old_size')} || ' -> ' || {sql_bytes('new_size')} || ')' || CASE WHEN coalesce(old_hash <> new_hash, false) THEN ' [' || substr(old_hash, 1, 8) || ' -> ' || substr(new_hash, 1, 8) || ']' ELSE '' END END AS line
  FROM diff WHERE status <> 'unchanged'""")
 def diff_delta_lines(spark, sf):
-    return diffing.diff_lines(diff_files(spark, sf))
+    return diffing.diff_lines(compared(spark, sf))
 
 
 @query(f"WITH {_FILES}, {_SECOND}, {_diff('CAST(NULL AS VARCHAR)', 'CAST(NULL AS VARCHAR)', _STRICT)} SELECT path, status FROM diff")
