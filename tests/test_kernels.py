@@ -70,3 +70,13 @@ def test_option_spellings():
     for bad in ("XXH3", "crc64"):
         with pytest.raises(ValueError):
             parse_checksum(bad)
+
+
+@pytest.mark.parametrize("data", [b"", b"short", b"12345678", b"abcdefgh" * 40, bytes(range(256)) * 3])
+def test_lanes_equal_brute_force(data):
+    from tessera.operators.minhash import lanes
+
+    shingles = {data[i : i + 8] for i in range(len(data) - 7)} if len(data) >= 8 else ({data} if data else set())
+    for width in (8, 32, 64):
+        want = [min(((int(hashing.h64([s], 42)[0]) + i * int(hashing.h64([s], 43)[0])) % 2**64 for s in shingles), default=2**64 - 1) % 2**width for i in range(5)]
+        assert lanes(data, 5, width).tolist() == want
