@@ -115,9 +115,9 @@ def _tokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     streams, lengths = [], []
     for t in texts:
         own = "".join(x if _letter_char(x) else " " for x in t.lower()).split()
-        streams.append(np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int64, len(own)))
+        streams.append(np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own)))
         lengths.append(len(own))
-    return list(ids), np.concatenate([*streams, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return list(ids), np.concatenate([*streams, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 def _letter_char(x: str) -> bool:
@@ -128,13 +128,15 @@ class _Spans:
     """The words of some token spans, so that one gradient step costs no more than those."""
 
     def __init__(self, token, lo, hi, words: _Words):
-        size = hi - lo
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        i4 = np.int32  # a bounded sample: all places fit
+        size = (hi - lo).astype(i4)
+        at = np.repeat((lo - np.cumsum(size) + size).astype(i4), size) + np.arange(int(size.sum()), dtype=i4)
         self.ids, own = np.unique(token[at], return_inverse=True)
-        self.own, self.span, self.share = own, np.repeat(np.arange(len(lo)), size), 1.0 / np.maximum(size, 1)
-        n = words.begin[self.ids + 1] - words.begin[self.ids]
-        flat = np.repeat(words.begin[self.ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        self.bucket, self.word = words.bucket[flat], np.repeat(np.arange(len(self.ids)), n)
+        del at
+        self.own, self.span, self.share = own.astype(i4), np.repeat(np.arange(len(lo), dtype=i4), size), 1.0 / np.maximum(size, 1)
+        n = (words.begin[self.ids + 1] - words.begin[self.ids]).astype(i4)
+        flat = np.repeat((words.begin[self.ids] - np.cumsum(n) + n).astype(i4), n) + np.arange(int(n.sum()), dtype=i4)
+        self.bucket, self.word = words.bucket[flat], np.repeat(np.arange(len(self.ids), dtype=i4), n)
         self.count = words.count[self.ids]
 
     def means(self, table: np.ndarray) -> np.ndarray:
@@ -150,15 +152,28 @@ class _Words:
     """N-gram buckets of every distinct training word; rare n-grams are left out, but count in the mean."""
 
     def __init__(self, vocabulary: list[str], documents: np.ndarray):
-        _, parts, n = grams(vocabulary)
-        word, bucket = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        self.count = np.maximum(np.bincount(word, minlength=n), 1)
-        keep = (np.bincount(bucket, documents[word], BUCKETS) >= LEAST)[bucket]
-        order = np.argsort(word[keep], kind="stable")
-        word, bucket = word[keep][order], bucket[keep][order]
-        self.used, self.bucket = np.unique(bucket, return_inverse=True)
-        self.begin = np.searchsorted(word, np.arange(n + 1))
-        self.word = word
+        # A stretch of the vocabulary at a time, twice: once for the frequencies, once for the frequent n-grams.
+        n, step = len(vocabulary), 50_000
+        self.count = np.zeros(n)
+        frequency = np.zeros(BUCKETS)
+        for lo in range(0, n, step):
+            for w, b in grams(vocabulary[lo : lo + step])[1]:
+                self.count[lo : lo + step] += np.bincount(w, minlength=len(vocabulary[lo : lo + step]))
+                frequency += np.bincount(b, documents[lo + w], BUCKETS)
+        self.count = np.maximum(self.count, 1)
+        self.used = np.flatnonzero(frequency >= LEAST)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        words, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for lo in range(0, n, step):
+            parts = grams(vocabulary[lo : lo + step])[1]
+            w, b = np.concatenate([p[0] for p in parts]) + np.int32(lo), place[np.concatenate([p[1] for p in parts])]
+            w, b = w[b >= 0], b[b >= 0]
+            order = np.argsort(w, kind="stable")
+            words.append(w[order])
+            buckets.append(b[order])
+        self.word, self.bucket = np.concatenate(words), np.concatenate(buckets)
+        self.begin = np.searchsorted(self.word, np.arange(n + 1))
 
     def scores(self, table: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, table[self.bucket], len(self.count)) / self.count
@@ -177,8 +192,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int
         return Model(np.zeros(BUCKETS), -4.0 if not len(texts) or y.max() == 0 else 4.0)
     rng = np.random.default_rng(seed)
     vocabulary, token, first = _tokens(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    words = _Words(vocabulary, np.bincount(np.unique(owner * np.int64(len(vocabulary)) + token) % len(vocabulary), minlength=len(vocabulary)))
+    documents = np.zeros(len(vocabulary), np.int64)
+    for lo, hi in zip(first, first[1:], strict=False):
+        documents[np.unique(token[lo:hi])] += 1
+    words = _Words(vocabulary, documents)
+    del vocabulary
     k = len(words.used)
     lo, hi, text = windows(first)
     head = np.searchsorted(text, np.arange(len(texts)))
@@ -195,6 +213,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int
             pick = np.zeros(len(texts), np.int64)
             pick[text[hit[::-1]]] = hit[::-1]
             picked = np.union1d(picked[y[text[picked]] == 0], pick)
+            del spans, cum, mean
             spans, target = _Spans(token, lo[picked], hi[picked], words), y[text[picked]]
         weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, len(target) - target.sum()))
         v_emb, v_soft, v_bias, norm = np.zeros_like(emb), np.zeros_like(soft), 0.0, 0.0
@@ -252,7 +271,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         m = Model(*shared.value)
         for batch in batches:
             text = plain(batch.column(at))
-            parts = [m.score(text.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(text, 2 << 20)]
+            parts = [m.score(text.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*keep, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
