@@ -30,7 +30,7 @@ _STOP[list(b".,;:!?")] = True
 #: Never part of a unit that is encoded together with others.
 _BREAK = b"\x01"
 #: Distinct units a worker keeps before it hands them on.
-_FLUSH = 400_000
+_FLUSH = 200_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -71,6 +71,15 @@ def _gather(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class Encoder:
     """One tokenizer of this process; ``many`` encodes units separately but in few calls."""
 
+    _open: dict[str, Encoder] = {}
+
+    @classmethod
+    def open(cls, path: str) -> Encoder:
+        if path not in cls._open:
+            cls._open.clear()
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -172,7 +181,7 @@ def build(docs: DataFrame, folder: str, tokenizer: str) -> None:
         flat = b"".join(x.as_py() for x in table["bytes"])
         begin = np.cumsum(size) - size
         h, at = np.unique(h, return_index=True)
-        ids, counts = Encoder(tokenizer).many([flat[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)])
+        ids, counts = Encoder.open(tokenizer).many([flat[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)])
         start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         data = np.array([len(h), start[-1]], np.int64).tobytes() + h.tobytes() + start.tobytes() + ids.astype("<i4").tobytes()
         bucket = table["bucket"][0].as_py()
@@ -218,7 +227,7 @@ class Lexicon:
             n = np.where(hit, start[at + 1] - start[at], 0)
             got = _gather(ids, start[at], n)
             if not hit.all():
-                self.encoder = self.encoder or Encoder(self.tokenizer)
+                self.encoder = self.encoder or Encoder.open(self.tokenizer)
                 parts = np.split(got, np.cumsum(n)[:-1])
                 for i in np.flatnonzero(~hit):
                     parts[i] = self.encoder.one(w.word(int(first[lo + i])))

@@ -21,7 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
 #: Bytes of text handled at a time; bounds the memory of one Python worker.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
