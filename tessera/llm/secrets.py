@@ -1,11 +1,12 @@
 """Secret scans with a random forest that removes false positives.
 
-Everything is a DataFrame expression. A text is cut into words with their trailing white space;
-words that may hold a credential (an assigned value, or a long run with a digit) become
-candidates with their offset, their assignment key and the neighbouring words. A random forest
+Everything is a DataFrame expression. A text is cut into words with their trailing white space, and
+each word into pieces: values of credential keys (any symbols), values of other keys, passwords
+in addresses, and bare runs. Every piece that may hold a credential becomes a
+candidate with its offset, its assignment key and the neighbouring words. A random forest
 over ``FEATURES`` is trained with the DataFrame ML API on labelled findings, its trees are
 turned into one SQL expression, and that expression scores the candidates inside the row's own
-array: no shuffle, no join, no Python worker, and texts without digits, ``=`` or ``:`` are never cut at all.
+array: no shuffle, no join, no Python worker, and texts without digits, ``=``, ``:``, known forms or credential keys are never cut at all.
 
 Labelled findings are a table (word, before, after, label) of any origin. ``synthetic_findings`` makes a
 bounded set of typical ones where no reviewed findings are at hand.
@@ -31,9 +32,26 @@ BENIGN = r"sha\d*|md5|checksum|digest|commit|revision|uuid|guid|build|version|is
 KNOWN = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk_(?:live|test)_|^xox[abprs]-|^AIza|^glpat-|^eyJ"
 WORDS = "about account action archive article backup branch build cache channel chapter client cluster code color config content control count customer data default delete design device document draft event example export feature file filter final format frame function group header history home image import index input item label library license line list local main manager master message method model module monday network node note number object option order output package page path photo place plan plugin point print process product project public query range record region release report request response result review sample schema screen script section series server service session simple size source stage standard start state static status string style summary system table target template test theme thread time title tool total train update upload user value version video view week window work world write year".split()
 
-#: Word -> key and value. The value is a run of credential characters up to closing punctuation.
-_WORD = r"""^[^A-Za-z0-9_/+.\-]*(?:([A-Za-z][A-Za-z_.\-]{0,40})["']?(?:=|:)+["']?)?([A-Za-z0-9_/+.\-]{7,}[A-Za-z0-9_/+\-]={0,2})[^A-Za-z0-9_/+\-]*\s*$"""
-FEATURES = ("length", "transitions", "digits", "upper", "letters_run", "hex", "pairs", "distinct", "dictionary", "slashes", "path_word", "key", "near_key", "near_benign", "assigned", "known", "groups")
+#: Known forms anywhere in a word, before it is cut.
+_KNOWN = r"AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|AIza|glpat-|eyJ"
+_NAME = r"[A-Za-z0-9_.\-]"
+_ASSIGN = r"""\\?["'`]?[\])]?(?:[:=]+>?|>)\\?["'`]?"""
+#: A value in quotes up to the next quote, or one without up to a separator before another pair, a closing tag or closing punctuation.
+_WIDE = rf"""(?:(?<=["'`])[^\s"'`]{{4,}}(?<!\\)|(?=[^\s"'`<][^\s"'`<]{{3}}|[^\s"'`<]{{1,3}}[<'][^\s"'`/])[^\s"'`;&,|<]*(?:(?:[;&,|<](?!\s*$|["'{{\[(]|/[A-Za-z]|{_NAME}{{1,40}}\\?["']?[:=])|'(?=[A-Za-z0-9]))[^\s"'`;&,|<]*){{0,500}}(?<![.,;:?!)\]}}>#*]))"""
+_BARE = r"[A-Za-z0-9_/+.\-]{7,}[A-Za-z0-9_/+\-]={0,2}"
+_USER = r"""://(?:[^\s/:@"'<>]{0,100}:)?[^\s/"'<>]{4,}(?=@)"""
+_PIECE = "|".join((
+    rf"(?<!{_NAME}){_NAME}{{0,40}}(?i:{KEYS}){_NAME}{{0,40}}{_ASSIGN}{_WIDE}",
+    _USER,
+    rf"""(?<!{_NAME})[A-Za-z]{_NAME}{{0,40}}{_ASSIGN}(?!//[^\s/@]*@){_BARE}""",
+    _BARE,
+    r"[^A-Za-z0-9_/+.\-:]+|(?s:.)",
+))
+#: The same for a word behind ``key =``: what it begins with is the value.
+_GIVEN = rf"""(?<=^["'`]{{0,2}}){_WIDE}|{_PIECE}"""
+#: The end of the words before, where they assign to a credential key.
+_BEFORE = rf"""(?i)(?:{KEYS}){_NAME}*\\?["'`]?[\])]?\s*[:=]+>?$"""
+FEATURES = ("length", "transitions", "digits", "upper", "letters_run", "hex", "pairs", "distinct", "dictionary", "slashes", "path_word", "key", "near_key", "near_benign", "assigned", "known", "groups", "symbols")
 
 
 def _len(c: Column) -> Column:
@@ -62,23 +80,51 @@ def features(word: Column, key: Column, value: Column, before: Column, after: Co
         _share(low, "|".join(WORDS)),
         _len(F.regexp_replace(value, "[^/]", "")),
         word.rlike(r"://|@|^[./~]|[/\\].*[/\\]|\.[A-Za-z]{2,5}[)\"',.;]*\s*$").cast("double"),
-        key.rlike(f"(?i)({KEYS})").cast("double"),
+        _credential(key).cast("double"),
         context.rlike(KEYS).cast("double"),
         F.lower(F.concat_ws(" ", before, key, after)).rlike(rf"(?:^|[^a-z])(?:{BENIGN})(?:[^a-z]|$)").cast("double"),
         ((F.length(key) > 0) | F.trim(before).rlike("[=:]$")).cast("double"),
         value.rlike(KNOWN).cast("double"),
         value.rlike(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-|^[0-9.\-/+]+$|^v?\d+(\.\d+)+").cast("double"),
+        _share(value, r"[^A-Za-z0-9_/+.\-=]"),
     ]
 
 
-def parts(word: Column) -> tuple[Column, Column]:
-    """(key, value) of a word; both empty if it has none."""
-    return F.regexp_extract(word, _WORD, 1), F.regexp_extract(word, _WORD, 2)
+def _credential(key: Column) -> Column:
+    return key.rlike(f"(?i)({KEYS})") | (key == "://")
+
+
+def is_candidate(word: Column, key: Column, value: Column, before: Column | None = None) -> Column:
+    """A value of 12 characters with a digit, of a known form, or of a credential key in the same word or the words ``before`` it."""
+    near = F.lit(False) if before is None else before.rlike(_BEFORE) | ((F.length(value) >= 8) & before.rlike(f"(?i){KEYS}"))
+    return ((F.length(value) >= 12) & value.rlike("[0-9]")) | value.rlike(KNOWN) | ((F.length(value) >= 4) & (_credential(key) | near))
+
+
+def _found(word: Column, before: Column) -> Column:
+    """array<struct(o, key, value, near)>: the candidates of a word with the value's offset; ``near`` is its piece with what touches it."""
+    given = before.rlike(_BEFORE)
+    pieces = F.when(given, F.regexp_extract_all(word, F.lit(_GIVEN), F.lit(0))).otherwise(F.regexp_extract_all(word, F.lit(_PIECE), F.lit(0)))
+
+    def split(p: Column, o: Column) -> Column:
+        whole = given & (o <= 2)
+        key = F.when(whole, "").when(p.startswith("://"), "://").otherwise(F.regexp_extract(p, rf"^({_NAME}+){_ASSIGN}[^:=]", 1))
+        tail = F.when(whole, p).when(p.startswith("://"), F.regexp_extract(p, r"""(?s)^://(?:[^\s/:@"'<>]*:)?(.*)$""", 1)).when(key != "", F.regexp_extract(p, rf"(?s)^{_NAME}+{_ASSIGN}([^:=].*)$", 1)).otherwise(p)
+        return F.struct((o + F.length(p) - F.length(tail)).alias("o"), key.alias("key"), tail.alias("value"), F.substring(word, F.greatest(o - 2, F.lit(1)), F.length(p) + 4).alias("near"))
 
+    none = F.array().cast("array<struct<o:int,key:string,value:string,near:string>>")
 
-def is_candidate(word: Column, key: Column, value: Column) -> Column:
-    """A value of 12 characters with a digit, or any value assigned to a credential key."""
-    return ((F.length(value) >= 12) & value.rlike("[0-9]")) | ((F.length(value) >= 8) & key.rlike(f"(?i)({KEYS})"))
+    def step(acc: Column, p: Column) -> Column:
+        ok = lambda s: is_candidate(word, s["key"], s["value"], before)
+        more = F.when((F.length(p) >= 4) & p.rlike("[A-Za-z0-9]"), F.filter(F.array(split(p, acc["o"])), ok)).otherwise(none)
+        return F.struct((acc["o"] + F.length(p)).alias("o"), F.concat(acc["out"], more).alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("o"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def parts(word: Column) -> tuple[Column, Column]:
+    """(key, value) of a word's first candidate; both empty if it has none."""
+    first = F.get(_found(word, F.lit("")), 0)
+    return F.coalesce(first["key"], F.lit("")), F.coalesce(first["value"], F.lit(""))
 
 
 def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
@@ -93,6 +139,7 @@ def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     key = pick("k", ("password", "passwd", "secret", "api_key", "token", "auth", "pwd", "access_key", "client_secret"))
     quote = pick("q", ("", '"', "'"))
     w1, w2 = pick("w1", WORDS), pick("w2", WORDS)
+    sign, sign2 = pick("s1", tuple("!@#$%&*;,")), pick("s2", tuple("!@$%*^~"))
     good = [
         (F.concat(F.lit("AKIA"), upper("a", 16)), pick("b", prose)),
         (F.concat(F.lit("AKIA"), upper("a", 16)), pick("b", ("key", "id", "aws", "access", "="))),
@@ -103,6 +150,16 @@ def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.regexp_replace(b64("v", 44), "[/+=]", "x")), pick("b", prose)),
         (F.concat(F.lit("sk_live_"), F.regexp_replace(b64("v", 24), "[/+=]", "x")), pick("b", ("stripe", "key", "of", "with"))),
         (F.concat(key, F.lit(":"), hexa("v", 32)), pick("b", prose)),
+        (F.concat(key, F.lit("="), quote, F.initcap(w1), sign, num("n", 900).cast("string"), sign2, hexa("v", 5), quote), pick("b", prose)),
+        (F.concat(quote, F.initcap(w1), sign, num("n", 900).cast("string"), sign2, hexa("v", 5), quote), F.concat(key, pick("e", (" =", ":")))),
+        (F.concat(key, F.lit("="), F.translate(w1, "ae", "40"), sign, w2, num("n", 900).cast("string")), pick("b", prose)),
+        (F.concat(key, pick("e", ("=", ":")), w1, num("n", 990) + 10, pick("f", ("x", "", "q"))), pick("b", prose)),
+        (F.concat(quote, w1, num("n", 990) + 10, pick("f", ("x", "", "q")), quote), F.concat(key, pick("e", (" =", ":")))),
+        (F.concat(pick("e", ("oauth2_token", "s3_secret", "2fa_token", "db1.password")), F.lit("="), hexa("v", 20)), pick("b", prose)),
+        (F.concat(pick("e", ("postgres", "mysql", "redis", "amqp", "https")), F.lit("://"), w1, F.lit(":"), F.initcap(w2), hexa("v", 6), F.lit("@db.local:5432/app")), pick("b", prose)),
+        (F.concat(F.lit("https://"), w1, F.lit(".example.com/?"), key, F.lit("="), hexa("v", 20), F.lit("&x=1")), pick("b", prose)),
+        (F.concat(F.lit("AKIA"), F.translate(upper("a", 16), "2345", "KWQZ")), pick("b", prose)),
+        (F.concat(F.lit('{"user":"'), w1, F.lit('","'), key, F.lit('":"'), hexa("v", 20), F.lit('"}')), pick("b", prose)),
         (b64("v", 40), F.concat(pick("b", ("secret", "aws_secret", "bearer", "credential")), pick("e", (" =", ":", "")))),
     ]
     bad = [
@@ -118,6 +175,15 @@ def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(w1, w2, num("n", 3000).cast("string")), pick("b", prose)),
         (F.concat(F.lit("2024-0"), (num("n", 9) + 1).cast("string"), F.lit("-1"), num("m", 9).cast("string"), F.lit("T10:2"), num("o", 9).cast("string"), F.lit(":00")), pick("b", prose)),
         (F.concat(key, F.lit("="), pick("w3", ("changeme", "required", "optional", "disabled", "yourpassword", "undefined"))), pick("b", prose)),
+        (F.concat(w1, w2), F.concat(key, pick("e", ("", " of", " for", " is")))),
+        (F.concat(w1, pick("e", ("", ",", "."))), F.concat(key, pick("f", (":", " =")))),
+        (F.concat(key, pick("e", ("=", ":")), pick("f", ("", "$", "self.", "get_")), w1, pick("g", ("", "()", "_", ".")), w2), pick("b", prose)),
+        (F.concat(key, pick("e", ("=${", "={", "=%(")), w1, pick("g", ("", "_", ".")), w2, F.lit("}")), pick("b", prose)),
+        (F.concat(key, pick("e", ("=${", "=$", "=")), F.upper(w1), pick("g", ("_", "_", ".")), F.upper(w2), F.lit("}")), pick("b", prose)),
+        (pick("e", ("Bearer", "Basic", "Digest", "None", "null", "true", "false")), F.concat(key, pick("f", (":", " =")))),
+        (F.concat(w1, F.lit("."), w2, num("n", 9000) + 1000, F.lit("@example.com")), pick("b", (*prose, "mail"))),
+        (F.concat(pick("e", ("ssh", "git", "https")), F.lit("://"), w1, F.lit("@"), w2, F.lit(".example.com/x.git")), pick("b", prose)),
+        (F.concat(F.lit("http://"), w1, F.lit(".local:8080/"), w2, F.lit("/"), pick("w3", WORDS), num("n", 9000).cast("string")), pick("b", prose)),
         (F.concat(F.lit("+1-555-"), num("n", 900) + 100, F.lit("-"), num("m", 9000) + 1000), pick("b", (*prose, "phone", "tel"))),
     ]
     rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int"))
@@ -140,9 +206,9 @@ def train(findings: DataFrame) -> list:
 
     findings = save(findings.select("word", "before", "after", "label"), f"{workspace(findings.sparkSession, 'findings')}/table")
     f = findings.select("word", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")).filter("word IS NOT NULL AND label IN (0, 1)").limit(MOST_TRAINED)
-    key, value = parts(F.col("word"))
-    f = f.select("*", key.alias("key"), value.alias("value")).filter(is_candidate(F.col("word"), F.col("key"), F.col("value")))
-    cols = features(F.col("word"), F.col("key"), F.col("value"), F.col("before"), F.col("after"))
+    f = f.withColumn("c", F.get(_found(F.col("word"), F.col("before")), 0)).filter("c IS NOT NULL")
+    f = f.select("before", "after", "label", "c.near", "c.key", "c.value")
+    cols = features(F.col("near"), F.col("key"), F.col("value"), F.col("before"), F.col("after"))
     f = f.select("label", *[c.alias(n) for c, n in zip(cols, FEATURES, strict=True)]).coalesce(1)
     seen = [r.label for r in f.select("label").distinct().collect()]
     if len(seen) < 2:
@@ -182,22 +248,30 @@ def forest(trees: list, x: Column) -> Column:
     return total / F.lit(float(len(trees)))
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct(i, word, key, value, before, after)> over the words of a text that may hold one at all."""
-    words = F.when(text.rlike("[0-9=:]"), F.split(text, r"(?<=\s)(?=\S)"))
-    at = lambda ws, i: F.coalesce(F.trim(F.regexp_replace(F.get(ws, i), r"\s+$", "")), F.lit(""))
-    looks = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: s["word"].rlike(r"[A-Za-z0-9_/+.\-]{8}") & s["word"].rlike("[0-9=:]"))
-    full = F.transform(looks, lambda s: F.struct(s["i"].alias("i"), s["word"].alias("word"), *[c.alias(n) for c, n in zip(parts(s["word"]), ("key", "value"), strict=True)]))
-    full = F.filter(full, lambda s: is_candidate(s["word"], s["key"], s["value"]))
-    return F.transform(full, lambda s: F.struct(s["i"].alias("i"), s["word"].alias("word"), s["key"].alias("key"), s["value"].alias("value"), F.concat_ws(" ", at(words, s["i"] - 2), at(words, s["i"] - 1)).alias("before"), at(words, s["i"] + 1).alias("after")))
+def _candidates(words: Column, keys: Column) -> Column:
+    """array<struct(i, o, key, value, near, before, after)> over the words of a text; ``keys`` says that it names a credential at all."""
+    at = lambda i: F.coalesce(F.trim(F.regexp_replace(F.get(words, i), r"\s+$", "")), F.lit(""))
+    keyed = lambda i: F.coalesce(F.get(words, i).rlike(f"(?i){KEYS}"), F.lit(False))
+    looks = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: (F.length(s["word"]) >= 4) & (s["word"].rlike(rf"[0-9=:>]|{_KNOWN}") | (keys & (keyed(s["i"] - 1) | keyed(s["i"] - 2)))))
+    near = F.transform(looks, lambda s: F.struct(s["i"].alias("i"), s["word"].alias("word"), F.trim(F.concat_ws(" ", at(s["i"] - 2), at(s["i"] - 1))).alias("before")))
+    cut = F.filter(F.transform(near, lambda s: F.struct(s["i"].alias("i"), s["before"].alias("before"), _found(s["word"], s["before"]).alias("found"))), lambda s: F.size(s["found"]) > 0)
+    return F.flatten(F.transform(cut, lambda s: F.transform(s["found"], lambda c: F.struct(s["i"].alias("i"), c["o"].alias("o"), c["key"].alias("key"), c["value"].alias("value"), c["near"].alias("near"), s["before"].alias("before"), at(s["i"] + 1).alias("after")))))
 
 
 def _scored(docs: DataFrame, trees: list, text: str) -> DataFrame:
-    """``docs`` with ``_found``: its candidates with their probability."""
-    d = docs.withColumn("_c", _candidates(F.col(text)))
-    d = d.withColumn("_f", F.transform("_c", lambda s: F.array(*features(s["word"], s["key"], s["value"], s["before"], s["after"]))))
+    """``docs`` with ``_words`` and ``_found``: its candidates with their probability."""
+    d = docs.withColumn("_keys", F.col(text).rlike(f"(?i){KEYS}"))
+    d = d.withColumn("_words", F.when(F.col("_keys") | F.col(text).rlike(f"[0-9=:>]|{_KNOWN}"), F.split(text, r"(?<=\s)(?=\S)")))
+    # Behind a lambda the words are cut once, wherever the optimizer copies the expression to.
+    d = d.withColumn("_c", F.flatten(F.transform(F.array("_words"), lambda ws: _candidates(ws, F.col("_keys")))))
+    d = d.withColumn("_f", F.transform("_c", lambda s: F.array(*features(s["near"], s["key"], s["value"], s["before"], s["after"]))))
     p = F.transform("_f", lambda x: forest(trees, x))
-    return d.withColumn("_found", F.arrays_zip(F.col("_c").alias("c"), p.alias("p"))).drop("_c", "_f")
+    return d.withColumn("_found", F.arrays_zip(F.col("_c").alias("c"), p.alias("p"))).drop("_keys", "_c", "_f")
+
+
+def _start(c: Column) -> Column:
+    """Code point offset in the text of a candidate's value."""
+    return F.length(F.array_join(F.slice("_words", 1, c["i"]), "")) + c["o"]
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -209,10 +283,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text")
     """
     trees = train(findings if findings is not None else synthetic_findings(docs.sparkSession))
     d = docs.select("doc_id", F.col(text).alias("text"))
-    found = _scored(d, trees, "text").select("doc_id", "text", F.explode("_found").alias("s"))
+    found = _scored(d, trees, "text").select("doc_id", "_words", F.explode_outer("_found").alias("s")).filter("s IS NOT NULL")
     c = F.col("s.c")
-    ahead = F.length(F.array_join(F.slice(F.split("text", r"(?<=\s)(?=\S)"), 1, c["i"]), ""))
-    start = (ahead + F.expr("instr(s.c.word, s.c.value)") - 1).cast("long")
+    start = _start(c).cast("long")
     return found.select("doc_id", start.alias("start"), (start + F.length(c["value"])).alias("end"), c["key"].alias("key"), F.sha2(c["value"].cast("binary"), 256).alias("value_sha256"), F.col("s.p").alias("probability"), (F.col("s.p") >= SECRET).alias("secret"))
 
 
@@ -224,9 +297,10 @@ def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     trees = train(findings if findings is not None else synthetic_findings(docs.sparkSession))
     d = _scored(docs, trees, "text")
     bad = F.filter("_found", lambda s: s["p"] >= SECRET)
-    words = F.split("text", r"(?<=\s)(?=\S)")
-    d = d.withColumn("_bad", F.map_from_entries(F.transform(bad, lambda s: F.struct(s["c"]["i"], s["c"]["value"]))))
-    masked = F.array_join(F.transform(words, lambda w, i: F.when(F.map_contains_key("_bad", i), F.replace(w, F.element_at("_bad", i), F.lit(MASK))).otherwise(w)), "")
+    d = d.withColumn("_bad", F.transform(bad, lambda s: F.struct(_start(s["c"]).alias("start"), F.length(s["c"]["value"]).alias("n"))))
+    behind = lambda i: F.coalesce(F.get("_bad", i - 1)["start"] + F.get("_bad", i - 1)["n"], F.lit(0))
+    kept = F.transform("_bad", lambda s, i: F.concat(F.substring("text", behind(i) + 1, s["start"] - behind(i)), F.lit(MASK)))
+    masked = F.concat(F.array_join(kept, ""), F.substring("text", behind(F.size("_bad")) + 1, F.length("text")))
     d = d.withColumn("text", F.when(F.size("_bad") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.size("_bad") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
