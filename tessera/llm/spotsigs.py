@@ -5,9 +5,8 @@ content words (words that are no anchors). Boilerplate and navigation have few a
 many. Texts with fewer than ``FEW`` spots add all their words, so that no text with a word is
 without signatures.
 
-* ``fingerprint`` keeps the ``KEPT`` least 32-bit signature hashes, as hex. Sets that small
-  are kept whole, for larger ones it is a uniform sample of the set, and the same part of two
-  fingerprints' union gives an unbiased Jaccard estimate.
+* ``fingerprint`` holds 32 bits of every signature of the whole set, as hex in the order of the
+  64-bit hashes; similarities are exact Jaccard over the whole 64-bit sets.
 * ``search`` compares the full sets of stated queries with all rows: rows are partitioned by set
   length so that only neighbouring partitions can reach the threshold, and of each set only
   the prefix that must contain a common signature is looked up.
@@ -33,7 +32,6 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 FEW = 8
-KEPT = 64
 
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*%$&#")] = True
@@ -94,17 +92,16 @@ def spot_sets(column: pa.LargeStringArray) -> Iterator[np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    return np.unique((mix(s) >> U64(32)).astype(np.uint32))[:KEPT]
+    """The whole set, mixed again and sorted."""
+    return np.unique(mix(s))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity estimated from two sketches; exact for sets of at most ``KEPT``. Two empty ones are alike."""
+    """Jaccard similarity of two sets of distinct signatures. Two empty ones are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) == KEPT:
-        union = union[:KEPT]
-    return float(np.count_nonzero(np.isin(union, a, True) & np.isin(union, b, True)) / len(union))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def as_text(s: np.ndarray) -> str:

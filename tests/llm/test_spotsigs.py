@@ -63,3 +63,15 @@ def test_search_equals_brute_force(spark):
     want = {(q, d) for q in all_sets if q % 20 == 0 for d in all_sets if d != q and all_sets[q] and len(all_sets[q] & all_sets[d]) >= 0.8 * len(all_sets[q] | all_sets[d])}
     got = search(docs, docs.filter("doc_id % 20 = 0"), 0.8).collect()
     assert len(got) == len(want) and {(r.query_id, r.doc_id) for r in got} == want
+
+
+def test_large_sets_are_whole(spark):
+    word = lambda i: f"the w{i} v{i} "
+    a, b = "".join(map(word, range(1000))), "".join(map(word, range(10, 1010)))
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")).collect()}
+    full = [set(s.tolist()) for s in sets([a, b])]
+    assert len(full[0]) == 1000 and len(got[2].fingerprint) == 8 * 1000
+    assert got[2].near_next == len(full[0] & full[1]) / len(full[0] | full[1]) == 990 / 1010
+    changed = a.replace(word(999), "the w999 other ")
+    one = fingerprints(spark.createDataFrame([(1, changed)], "doc_id long, text string")).collect()[0]
+    assert one.fingerprint != got[2].fingerprint
