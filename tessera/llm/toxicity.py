@@ -44,8 +44,8 @@ _letters: np.ndarray | None = None
 def _is_letter(cp: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(0x10000)])
-    return np.where(cp < 0x10000, _letters[np.minimum(cp, 0xFFFF)], cp >= 0x20000)
+        _letters = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(0x110000)])
+    return _letters[cp]
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:

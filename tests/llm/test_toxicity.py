@@ -48,3 +48,11 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (3, 7)], "doc_id long, toxic int").selectExpr("*", "1 AS text")
     assert len(toxicity(docs, labels).collect()) == 5
     assert toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_letters_of_all_planes():
+    from tessera.llm.toxicity import _is_letter, _letter_char
+
+    cp = np.concatenate([np.arange(0x10000, 0x20000, 7), np.array([0x10330, 0x1E900, 0x10400, 0x1D400, 0x20000, 0x1F600, 0xE0001])]).astype(np.uint32)
+    assert _is_letter(cp).tolist() == [_letter_char(chr(c)) for c in cp]
+    assert _is_letter(cp[-7:]).tolist() == [True] * 5 + [False] * 2
