@@ -5,9 +5,12 @@ spectrum of each is summed into 12 pitch classes. Sixteen filters compare rectan
 image of pitch class by time, each read from its integral image with a few lookups; each
 comparison is quantised to two Gray-coded bits, so every frame position becomes one packed 32-bit integer.
 
-Recordings are aligned as in any acoustic index: equal keys (the upper ``KEY_BITS`` bits) of a query and a recording vote
-for a difference of positions, the histogram's best difference is verified by the share of
-differing bits over the whole overlap.
+Recordings are aligned as in any acoustic index: equal keys of a query and a recording vote for a difference of positions, the
+histogram's best difference is verified by the share of differing bits over the whole overlap. A key holds the
+upper ``KEY_BITS`` bits of two prints ``LAG`` positions apart, 40 bits in all, so chance meetings stay
+far below the true ones however many recordings there are. A query is fingerprinted at ``PHASES`` starts within
+one hop, since frames half a hop apart would share few keys. Recordings are spread over ``SALTS``
+parts of each key, so a key that a third of them share is no single task.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: (kind, first pitch class, pitch classes, frames); kinds are named in `_areas`.
 FILTERS = [(0, 0, 4, 3), (0, 4, 4, 3), (0, 8, 4, 3), (1, 0, 12, 4), (1, 2, 8, 8), (1, 6, 6, 14), (2, 0, 6, 6), (2, 6, 6, 6), (2, 0, 12, 12), (3, 0, 8, 8), (3, 4, 8, 8), (3, 0, 12, 14), (4, 0, 9, 4), (4, 3, 9, 8), (5, 0, 8, 9), (5, 4, 8, 12)]
 SPAN = max(f[3] for f in FILTERS)
-KEY_BITS = 20
+KEY_BITS, LAG = 20, 8
+SALTS, PHASES = 8, 4
 #: An alignment needs so many equal keys, so long an overlap and at most this share of differing bits.
-VOTES, OVERLAP, MOST_ERROR = 3, 12, 0.3
+VOTES, OVERLAP, MOST_ERROR = 2, 12, 0.3
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -91,7 +95,8 @@ def chroma(x: np.ndarray) -> np.ndarray:
         out.append(spectrum**2 @ _fold)
     c = np.concatenate(out).astype(np.float64)
     if len(c) >= len(SMOOTH):
-        c = np.apply_along_axis(lambda v: np.convolve(v, SMOOTH, "valid"), 0, c)
+        n = len(c) - len(SMOOTH) + 1
+        c = sum(w * c[k : k + n] for k, w in enumerate(SMOOTH))
     norm = np.sqrt((c**2).sum(axis=1, keepdims=True))
     return np.where(norm > 0.01, c / np.maximum(norm, 1e-12), 0.0)
 
@@ -133,21 +138,27 @@ _cuts: np.ndarray | None = None
 
 
 def cuts() -> np.ndarray:
-    """(filters, 3) quartiles of the responses over fixed random melodies, so that all four codes are used."""
+    """(filters, 3) quartiles of the responses over fixed random chords of one to three tones, so that all four codes are used."""
     global _cuts
     if _cuts is None:
-        rng = np.random.default_rng(3)
-        r = [_responses(chroma(render(rng.normal(0, 0.125, 64)))) for _ in range(60)]
+        rng, r = np.random.default_rng(3), []
+        for _ in range(60):
+            x = []
+            for _ in range(40):
+                at = np.arange(int(rng.integers(300, 2500))) / RATE
+                tones = [np.sin(2 * np.pi * hz * at) * rng.uniform(0.1, 0.4) for hz in rng.uniform(110, 1400, rng.integers(1, 4))]
+                x.append(sum(tones) + rng.normal(0, 0.01, len(at)))
+            r.append(_responses(chroma(np.concatenate(x).astype(np.float32))))
         _cuts = np.quantile(np.concatenate(r), [0.25, 0.5, 0.75], axis=0).T
     return _cuts
 
 
-def fingerprint(data: bytes | None) -> np.ndarray:
-    """Packed integers of a WAV file, one each frame position; none for null, broken, short or silent media."""
+def fingerprint(data: bytes | None, skip: int = 0) -> np.ndarray:
+    """Packed integers of a WAV file, one each frame position from sample ``skip`` on; none for null, broken, short or silent media."""
     got = read_wav(data) if data else None
     if got is None:
         return np.zeros(0, np.uint32)
-    c = chroma(resample(got[1], got[0]))
+    c = chroma(resample(got[1], got[0])[skip:])
     if len(c) < SPAN or not c.any():
         return np.zeros(0, np.uint32)
     r, limits = _responses(c), cuts()
@@ -156,39 +167,54 @@ def fingerprint(data: bytes | None) -> np.ndarray:
     return (bits << (2 * np.arange(len(FILTERS), dtype=np.uint32))[::-1]).sum(axis=1).astype(np.uint32)
 
 
-def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, prints array<long>) of each row of ``media``."""
+def _prints(keys: list, media: Iterator[bytes | None], key: str, phases: int) -> pa.RecordBatch:
+    skips = [HOP * i // phases for i in range(phases)]
+    found = [fingerprint(m, skip) for m in media for skip in skips]
+    at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    prints = pa.ListArray.from_arrays(at, np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, object), phases).tolist(), pa.int64()), pa.array(list(range(phases)) * len(keys), pa.int32()), prints], names=[key, "phase", "prints"])
+
+
+def fingerprints(media: DataFrame, key: str, column: str, phases: int = 1) -> DataFrame:
+    """(key, phase, prints array<long>): ``phases`` rows for each row of ``media``, at starts spread over one hop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(x.as_py()).astype(np.int64) for x in batch.column(1)]
-            at = np.cumsum([0, *map(len, prints)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, np.concatenate([*prints, np.zeros(0, np.int64)]))], names=[key, "prints"])
+            yield _prints(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), key, phases)
+
+    return media.select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"{key} long, phase int, prints array<long>")
 
-    return media.select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"{key} long, prints array<long>")
+
+def _keyed(df: DataFrame, prints: str, place: str) -> DataFrame:
+    """``df`` with one row for each place whose print and the one ``LAG`` behind it make the key ``k``."""
+    low = 32 - KEY_BITS
+    later = F.slice(prints, LAG + 1, F.greatest(F.size(prints) - LAG, F.lit(0)))
+    keys = F.zip_with(later, F.slice(prints, 1, F.size(later)), lambda a, b: F.shiftleft(F.shiftright(b, low), KEY_BITS).bitwiseOR(F.shiftright(a, low)))
+    return df.select("*", F.posexplode(keys).alias(place, "k"))
 
 
 def align(queries: DataFrame, recordings: DataFrame) -> DataFrame:
     """(query_id, class_id, shift, votes, overlap, bit_error) of all pairs that align.
 
-    ``queries`` (query_id, prints) and ``recordings`` (rec_id, prints): equal prints are one class, named by the
+    ``queries`` (query_id, phase, prints) and ``recordings`` (rec_id, prints): equal prints are one class, named by the
     least rec_id, so copies of a recording cost one posting list. Query position plus ``shift`` is the recording's
-    position. Rows without prints align with nothing; null ids are left out.
+    position; of several phases the one with the least bit error (then the first) stands for the query. Rows without prints align
+    with nothing; null ids are left out.
     """
     path = workspace(queries.sparkSession, "align")
     classes = save(recordings.filter("size(prints) > 0 AND rec_id IS NOT NULL").groupBy("prints").agg(F.min("rec_id").alias("class_id")), f"{path}/classes")
-    asked = save(queries.filter("size(prints) > 0 AND query_id IS NOT NULL").select("query_id", F.col("prints").alias("asked")), f"{path}/queries")
-    low = 32 - KEY_BITS
-    q = asked.select("query_id", F.posexplode("asked").alias("i", "v")).select("query_id", "i", F.shiftright("v", low).alias("k"))
-    c = classes.select("class_id", F.posexplode("prints").alias("j", "v")).select("class_id", "j", F.shiftright("v", low).alias("k"))
-    votes = q.join(c, "k").groupBy("query_id", "class_id", (F.col("j") - F.col("i")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query_id", "class_id").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"))).alias("b")).filter(F.col("b.votes") >= VOTES).select("query_id", "class_id", (-F.col("b.s")).alias("shift"), "b.votes")
-    both = best.join(asked, "query_id").join(classes, "class_id")
+    asked = save(queries.filter("size(prints) > 0 AND query_id IS NOT NULL").select("query_id", "phase", F.col("prints").alias("asked")), f"{path}/queries")
+    q = _keyed(asked, "asked", "i").select("query_id", "phase", "i", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    c = _keyed(classes, "prints", "j").select("class_id", "j", "k", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    votes = q.join(c, ["k", "salt"]).groupBy("query_id", "phase", "class_id", (F.col("j") - F.col("i")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("query_id", "phase", "class_id").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"))).alias("b")).filter(F.col("b.votes") >= VOTES).select("query_id", "phase", "class_id", (-F.col("b.s")).alias("shift"), "b.votes")
+    both = best.join(asked, ["query_id", "phase"]).join(classes, "class_id")
     skip_q, skip_c = F.greatest(-F.col("shift"), F.lit(0)), F.greatest(F.col("shift"), F.lit(0))
     both = both.withColumn("overlap", F.least(F.size("asked") - skip_q, F.size("prints") - skip_c)).filter(F.col("overlap") >= OVERLAP)
     differing = F.aggregate(F.zip_with(F.slice("asked", skip_q + 1, F.col("overlap")), F.slice("prints", skip_c + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    out = both.select("query_id", "class_id", "shift", "votes", "overlap", (differing / (F.col("overlap") * 32.0)).alias("bit_error"))
-    return out.filter(F.col("bit_error") <= MOST_ERROR)
+    both = both.withColumn("bit_error", differing / (F.col("overlap") * 32.0)).filter(F.col("bit_error") <= MOST_ERROR)
+    least = both.groupBy("query_id", "class_id").agg(F.min(F.struct("bit_error", "phase", "shift", "votes", "overlap")).alias("b"))
+    return least.select("query_id", "class_id", "b.shift", "b.votes", "b.overlap", "b.bit_error")
 
 
 def render(values: np.ndarray, noise: float = 0.0, seed: int = 0) -> np.ndarray:
@@ -203,27 +229,39 @@ def render(values: np.ndarray, noise: float = 0.0, seed: int = 0) -> np.ndarray:
     return x
 
 
-def recordings(vectors: DataFrame, excerpt: bool = False) -> DataFrame:
-    """(vec_id, media): each vector of (vec_id, embedding) as a WAV file; null vectors have null media.
+def recording(key: int | None, vector: list | None, excerpt: bool = False) -> bytes | None:
+    """A vector as a WAV file. An excerpt begins in the middle of the ninth note, ends before the last eight, and is noisy."""
+    if vector is None:
+        return None
+    x = render([0.0 if y is None else y for y in vector], 0.05 * excerpt, key or 0)
+    return write_wav(x[8 * 660 + 330 : max(len(x) - 8 * 660, 0)] if excerpt else x)
 
-    An excerpt begins in the middle of the ninth note, ends before the last eight, and is noisy.
-    """
+
+def recordings(vectors: DataFrame, excerpt: bool = False) -> DataFrame:
+    """(vec_id, media): each vector of (vec_id, embedding) as a WAV file; null vectors have null media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                media = []
-                for key, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    x = None if v is None else render([0.0 if y is None else y for y in v], 0.05 * excerpt, key or 0)
-                    if x is not None and excerpt:
-                        x = x[8 * 660 + 330 : max(len(x) - 8 * 660, 0)]
-                    media.append(None if x is None else write_wav(x))
+                media = [recording(k, v, excerpt) for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["vec_id", "media"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, media binary")
 
 
+def rendered(vectors: DataFrame, excerpt: bool = False, phases: int = 1) -> DataFrame:
+    """``fingerprints(recordings(vectors))`` in one pass: a recording lives only while it is fingerprinted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                keys, part = batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist()
+                yield _prints(keys, (recording(k, v, excerpt) for k, v in zip(keys, part, strict=True)), "vec_id", phases)
+
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, phase int, prints array<long>")
+
+
 def align_excerpts(vectors: DataFrame) -> DataFrame:
     """One row for each of ``vectors`` (vec_id, embedding, any others), rendered as recordings.
 
@@ -233,9 +271,9 @@ def align_excerpts(vectors: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     path = workspace(vectors.sparkSession, "audio")
-    prints = save(fingerprints(recordings(vectors), "vec_id", "media"), f"{path}/prints")
-    asked = fingerprints(recordings(vectors.filter("vec_id % 20 = 0").dropDuplicates(["vec_id"]), True), "vec_id", "media")
-    found = align(asked.select(F.col("vec_id").alias("query_id"), "prints"), prints.select(F.col("vec_id").alias("rec_id"), "prints"))
+    prints = save(rendered(vectors), f"{path}/prints")
+    asked = rendered(vectors.filter("vec_id % 20 = 0").dropDuplicates(["vec_id"]), True, PHASES)
+    found = align(asked.withColumnRenamed("vec_id", "query_id"), prints.select(F.col("vec_id").alias("rec_id"), "prints"))
     best = found.groupBy("query_id").agg(F.min(F.struct("bit_error", "class_id", "shift")).alias("b"), F.count(F.lit(1)).alias("n_aligned"))
     h = prints.select("vec_id", F.size("prints").cast("long").alias("n_prints"), F.when(F.size("prints") > 0, F.sha2(F.concat_ws(",", "prints"), 256)).alias("h"))
     classes = h.filter("h IS NOT NULL").groupBy("h").agg(F.min("vec_id").alias("class_id"))
