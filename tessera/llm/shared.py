@@ -1,8 +1,8 @@
 """Working storage that every executor sees, and small Spark helpers.
 
 All intermediate tables and memory-mapped arrays live below the folder named by
-``spark.checkpoint.dir``. Only where that setting is absent (tests) a local folder is made
-and set. Lineage is cut by writing a table there and reading it back, so losing an
+``spark.checkpoint.dir``. Where that setting is absent, a local folder is made
+and set on a local master (tests); on a cluster that is an error. Lineage is cut by writing a table there and reading it back, so losing an
 executor never loses an intermediate result.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
@@ -52,6 +54,14 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def put(path: str, data: bytes | memoryview) -> None:
     """Write one file so that it appears whole or not at all; task retries may repeat it."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
