@@ -11,6 +11,7 @@ language and block of dimensions. The prototypes are languages x ``DIM`` numbers
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import plain, slices
-from .toxicity import _is_letter, remainder
+from .toxicity import remainder
 
 DIM = 1024
-#: Letter vectors; code points below it have their own, others share one by hash.
-LETTERS = 512
+#: Letter vectors. Code points below OWN have their own, all others share the rest by hash, so no script shares with Latin.
+LETTERS, OWN = 1024, 512
 #: Trigram vectors that a worker keeps; others are bound anew each time.
 CACHE = 40_000
 UNKNOWN = "und"
@@ -86,20 +87,36 @@ def space() -> Space:
     return _space
 
 
+_kinds: np.ndarray | None = None
+
+
+def kinds(cp: np.ndarray) -> np.ndarray:
+    """2 for letters, 1 for marks that belong to letters, 0 for all other code points."""
+    global _kinds
+    if _kinds is None:
+        _kinds = np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
+    return _kinds[cp]
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(trigram, index of its text) of every place whose middle is a letter.
+    """(trigram, index of its text) of every place whose middle is a letter or mark.
 
-    Texts are lower-cased, other characters count as blanks, and every text is framed by blanks.
+    Texts are lower-cased, other characters count as blanks, and every text is framed by blanks. A text
+    of marks without any letter has none.
     """
     low = [t.lower() for t in texts]
     cp = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter(cp) & ~((cp >= 48) & (cp <= 57))
-    own = np.where(cp < LETTERS, cp, 1 + (cp * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(LETTERS - 1))
+    kind = kinds(cp)
+    letter = kind > 0
+    own = np.where(cp < OWN, cp, OWN + (cp * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(LETTERS - OWN))
     code = np.where(letter, own, 0).astype(np.int64)
     mid = np.flatnonzero(letter[1:-1]) + 1
     gram = (code[mid - 1] * LETTERS + code[mid]) * LETTERS + code[mid + 1]
     # Text i and the line break behind it take len + 1 places, from place 1 on.
-    return gram, np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])[mid - 1]
+    of = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
+    owner = of[mid - 1]
+    lettered = np.bincount(of[np.flatnonzero(kind[1:-1] == 2)], minlength=len(low)) > 0
+    return gram[lettered[owner]], owner[lettered[owner]]
 
 
 def _counts(gram: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -41,3 +41,19 @@ def test_bundles_equal_binding_one_by_one():
     assert (s.bundle(own, np.ones(len(own))) == want).all()
     s.learn(np.unique(own))
     assert (s.bundle(own, np.ones(len(own))) == want).all()
+
+
+def test_letters_only(spark):
+    texts = ["½ ²³", "１２３", "٣٤ ۴", "12 34", "\u0301\u0302", "", None, "...", "𝐀𝐁𝐂", "𐐀𐐁", "Ж", "ß", "é"]
+    docs = spark.createDataFrame([(0, "the cat sat on the mat", "en"), *((i, t, None) for i, t in enumerate(texts, 1))], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id(docs).collect()}
+    learned = any(r.lang_pred != "und" for r in got.values())
+    assert all((got[i].lang_pred == "und") == (i <= 8 or not learned) for i in range(1, len(texts) + 1))
+    assert all(got[i].score == 0 for i in range(1, 9))
+
+
+def test_other_scripts_share_no_vector_with_latin():
+    from tessera.llm.language_id import LETTERS, trigrams
+
+    code = lambda t: set((trigrams([t])[0] // LETTERS % LETTERS).tolist())
+    assert not code("abcdefghijklmnopqrstuvwxyzäöüß") & code("абвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψω")
