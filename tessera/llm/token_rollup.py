@@ -86,36 +86,49 @@ class Rollup:
         """Apply signed SCHEMA rows as batch ``batch``; False, without reading them, if it was applied before."""
         if not batch or "/" in batch or batch.startswith(("_", ".")):
             raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self.batches():
+        if self.fs.exists(self._p(f"{self.path}/deltas/{batch}")) or self._in_base(batch):
             return False
         return self._publish(_rolled(deltas.select(*KEY, *SUMS)), f"{self.path}/deltas/{batch}")
 
     def batches(self) -> list[str]:
         return sorted({*self._names("deltas"), *self._compacted()[1]})
 
-    def _compacted(self) -> tuple[str | None, list[str]]:
+    def _in_base(self, batch: str) -> bool:
+        base = self._base()
+        return base is not None and not self.spark.read.parquet(f"{base}/batches").filter(F.col("batch") == batch).isEmpty()
+
+    def _base(self) -> str | None:
         bases = self._names("base")
-        if not bases:
+        return f"{self.path}/base/{max(bases, key=int)}" if bases else None
+
+    def _compacted(self) -> tuple[str | None, list[str]]:
+        path = self._base()
+        if path is None:
             return None, []
-        path = f"{self.path}/base/{max(bases, key=int)}"
         done = self.spark.read.parquet(f"{path}/batches").collect()  # one short row per batch
         return path, [r.batch for r in done]
 
     def totals(self) -> DataFrame:
         """SCHEMA with the sums of all committed batches; keys without documents, tokens and characters left are absent."""
         base, done = self._compacted()
-        parts = [f"{self.path}/deltas/{b}" for b in self._names("deltas") if b not in done] + ([f"{base}/totals"] if base else [])
+        return self._summed(base, [b for b in self._names("deltas") if b not in done])
+
+    def _summed(self, base: str | None, deltas: list[str]) -> DataFrame:
+        parts = [f"{self.path}/deltas/{b}" for b in deltas] + ([f"{base}/totals"] if base else [])
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         return _rolled(self.spark.read.schema(SCHEMA).parquet(*parts)).filter("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
     def compact(self) -> None:
-        """Fold the deltas into a new base; a crash on the way leaves the old base and all deltas."""
-        _, done = self._compacted()
+        """Fold the deltas into a new base; a crash on the way leaves the old base and all deltas.
+
+        Deltas are listed once: a batch that is committed meanwhile is in neither the sums nor the list, and stays a delta.
+        """
+        base, done = self._compacted()
         names = self._names("deltas")
         n = 1 + max([0, *map(int, self._names("base"))])
         part = f"{self.path}/tmp/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{part}/totals")
+        self._summed(base, [b for b in names if b not in done]).write.parquet(f"{part}/totals")
         self.spark.createDataFrame([(b,) for b in sorted({*names, *done})], "batch string").write.parquet(f"{part}/batches")
         if self.fs.rename(self._p(part), self._p(f"{self.path}/base/{n}")):
             for b in names:

@@ -55,6 +55,23 @@ def test_failed_batch_leaves_nothing(spark, tmp_path):
     assert r.commit("bad", changes(docs, V, 1)) and as_dict(r.totals()) == brute([("x", "s", "en")])
 
 
+def test_commit_during_compaction(spark, tmp_path):
+    docs = spark.createDataFrame([("x y", "s", "en")], "text string, source string, lang string")
+    r = Rollup(spark, f"file://{tmp_path}/r")
+    r.commit("b1", changes(docs, V, 1))
+    whole, once = r._summed, []
+
+    def between(base, deltas):
+        if not once:
+            once.append(r.commit("b2", changes(docs, V, 1)))
+        return whole(base, deltas)
+
+    r._summed = between
+    r.compact()
+    assert once == [True] and as_dict(r.totals()) == brute([("x y", "s", "en")] * 2) and r.batches() == ["b1", "b2"]
+    assert not r.commit("b1", changes(docs, V, 1)) and not r.commit("b2", changes(docs, V, 1))
+
+
 def test_life_of_documents(spark, documents, tmp_path):
     got = as_dict(maintain(documents, f"file://{tmp_path}/r").totals())
     rows = {(re.sub("[0-9]+", "", r.text), r.source, r.lang) for r in documents.collect()}
