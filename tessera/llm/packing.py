@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     spark = docs.sparkSession
     path = workspace(spark, "pack")
     table = save(pieces(docs, tokenizer or lexicon.tokenizer_path(), f"{path}/lexicon", capacity, end_id), f"{path}/pieces")
-    table = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    table = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counted = table.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
