@@ -22,7 +22,6 @@ that share a bucket are thus linked, refused or already connected: no bucket is
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
 
@@ -122,47 +121,49 @@ def _odd_distance(a: str, b: str) -> Column:
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int, path: str) -> DataFrame:
     """(sid, hashes binary) of the nodes in ``ids`` (doc_id, sid), read again from the texts.
 
-    The wanted ids lie as sorted arrays in the shared folder and are memory-mapped, so the
-    texts are filtered where they are read and are never shuffled.
+    The wanted ids lie in the shared folder, one sorted array for each remainder of the id, and are memory-mapped: the
+    texts are filtered where they are read and never shuffled, and a row is looked up in one array only.
     """
     folder = posix(path)
+    n_buckets = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, 8191)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
-        if parts:
-            rows = np.concatenate(parts)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            data = np.ascontiguousarray(rows.T).tobytes()
-            put(f"{folder}/{hashlib.blake2b(data, digest_size=16).hexdigest()}.ids", data)
-        yield pa.RecordBatch.from_pydict({"n": [sum(map(len, parts))]})
+        rows = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        rows = rows[np.lexsort((rows[:, 0], rows[:, 0] % n_buckets))]
+        bound = np.searchsorted(rows[:, 0] % n_buckets, np.arange(n_buckets + 1))
+        for k in np.flatnonzero(np.diff(bound)):
+            put(f"{folder}/{k}.ids", np.ascontiguousarray(rows[bound[k] : bound[k + 1]].T).tobytes())
+        yield pa.RecordBatch.from_pydict({"n": [len(rows)]})
 
     os.makedirs(folder, exist_ok=True)
-    ids.select("doc_id", "sid").repartition("doc_id").mapInArrow(store, "n long").write.format("noop").mode("overwrite").save()
+    ids.select("doc_id", "sid").repartition(F.pmod("doc_id", F.lit(n_buckets))).mapInArrow(store, "n long").write.format("noop").mode("overwrite").save()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = []
-        for name in sorted(os.listdir(folder)):
-            if name.endswith(".ids"):
-                a = np.memmap(f"{folder}/{name}", np.int64, "r")
-                wanted.append((a[: len(a) // 2], a[len(a) // 2 :]))
+        maps: dict[int, np.ndarray] = {}
+
+        def wanted(k: int) -> np.ndarray:
+            if k not in maps:
+                name = f"{folder}/{k}.ids"
+                maps[k] = np.memmap(name, np.int64, "r").reshape(2, -1) if os.path.exists(name) else np.zeros((2, 0), np.int64)
+            return maps[k]
+
         for batch in batches:
             doc = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            keep = np.zeros(len(doc), bool)
-            for i, _ in wanted:
-                keep |= i[np.minimum(np.searchsorted(i, doc), len(i) - 1)] == doc
-            at = np.flatnonzero(keep)
+            bucket = doc % n_buckets
+            first, end = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+            for k in np.unique(bucket):
+                own = bucket == k
+                first[own], end[own] = np.searchsorted(wanted(k)[0], doc[own]), np.searchsorted(wanted(k)[0], doc[own], "right")
+            at = np.flatnonzero(end > first)
             text = plain(batch.column(1).take(pa.array(at)))
             for lo, hi in slices(text):
                 out: dict[str, list] = {"sid": [], "hashes": []}
-                for d, s in zip(doc[at[lo:hi]], shingle_sets(split(text.slice(lo, hi - lo)), width), strict=True):
-                    n = U64(len(s))
-                    sid = int((mix(np.array([np.sum(s, dtype=U64)])) ^ n).view(np.int64)[0])
-                    for i, s_of in wanted:
-                        a, b = np.searchsorted(i, d), np.searchsorted(i, d, "right")
-                        if sid in s_of[a:b]:
-                            out["sid"].append(sid)
-                            out["hashes"].append(s.tobytes())
-                            break
+                for d, s in zip(at[lo:hi], shingle_sets(split(text.slice(lo, hi - lo)), width), strict=True):
+                    sid = int((mix(np.array([np.sum(s, dtype=U64)])) ^ U64(len(s))).view(np.int64)[0])
+                    if sid in wanted(int(bucket[d]))[1, first[d] : end[d]]:
+                        out["sid"].append(sid)
+                        out["hashes"].append(s.tobytes())
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sid", pa.int64()), ("hashes", pa.binary())]))
 
     return docs.select("doc_id", "text").mapInArrow(read, "sid long, hashes binary")
@@ -216,7 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     odd = nodes.select("sid", "odd")
     star = met.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
     star = star.join(odd.toDF("a", "oa"), "a").join(odd.toDF("b", "ob"), "b").filter(_odd_distance("oa", "ob") <= most_odd_bits(percent / 100 - MARGIN)).select("a", "b")
-    same_doc = full.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.collect_set("sid").alias("s")).filter("a <> z").select("a", F.explode("s").alias("b"))
+    several = full.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a <> z").select("doc_id", "a")
+    same_doc = full.select("doc_id", F.col("sid").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b").distinct()
     links = _verified(docs, star, nodes, width, percent, f"{path}/star").union(same_doc)
     label = components(links, f"{path}/first")
 
