@@ -2,8 +2,8 @@
 
 An anchor is a very common word; each occurrence contributes one signature, the hash of the anchor and the next ``CHAIN``
 content words (words that are no anchors). Boilerplate and navigation have few anchors, prose has
-many. Texts with fewer than ``FEW`` spots add all their words, so that no text with a word is
-without signatures.
+many. A word that belongs to no chain is a signature of its own, so that texts without anchors are told apart and no text
+with a word is without signatures; the rule is local, so a small edit changes few signatures.
 
 * ``fingerprint`` holds 32 bits of every signature of the whole set, as hex in the order of the
   64-bit hashes; similarities are exact Jaccard over the whole 64-bit sets.
@@ -31,7 +31,6 @@ ANCHORS = (
     "le les des et en du une que est pour qui dans il au par pas sur ce plus ne se sont avec son aux ou elle mais cette ses ont été comme nous vous ils leur leurs deux même ces je on lui tout si sans y"
 ).split()
 CHAIN = 2
-FEW = 8
 
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*%$&#")] = True
@@ -41,17 +40,13 @@ _anchor_hashes: np.ndarray | None = None
 def trimmed(column: pa.LargeStringArray) -> Words:
     """Words in lower case (A-Z) without ASCII punctuation at their ends; words of nothing else are left out."""
     w = split(column)
-    s, e = w.starts.copy(), w.ends.copy()
-    for _ in range(8):
-        cut = (e > s) & _TRIM[w.buf[e - 1]] if len(e) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        e -= cut
-    for _ in range(4):
-        cut = (e > s) & _TRIM[w.buf[np.minimum(s, len(w.buf) - 1)]] if len(e) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        s += cut
+    if not len(w.starts):
+        return w
+    # The last byte up to, and the first from, every place that is no such sign.
+    place = np.where(_TRIM[w.buf], -1, np.arange(len(w.buf)))
+    last = np.maximum.accumulate(place)
+    first = np.minimum.accumulate(np.where(place < 0, len(w.buf), place)[::-1])[::-1]
+    s, e = np.minimum(first[w.starts], w.ends), last[w.ends - 1] + 1
     keep = e > s
     return Words(w.buf, s[keep], e[keep], np.concatenate([[0], np.cumsum(keep)])[w.ptr])
 
@@ -80,14 +75,15 @@ def spot_sets(column: pa.LargeStringArray) -> Iterator[np.ndarray]:
         pos = content[np.minimum(k, len(content) - 1)] if len(content) else np.zeros(len(at), np.int64)
         ok &= pos < row_end[at]
         sig = mix(sig + h[pos] * U64(2 * j + 3)) if len(h) else sig
+    alone = np.ones(len(h), bool)
+    alone[at[ok]] = False
+    for j in range(CHAIN):
+        alone[content[nth[ok] + j]] = False
     at, sig = at[ok], sig[ok]
-    bound = np.searchsorted(at, w.ptr)
-    single = mix(h ^ U64(0x5B0751650))
+    bound, single = np.searchsorted(at, w.ptr), np.flatnonzero(alone)
+    rest, value = np.searchsorted(single, w.ptr), mix(h[single] ^ U64(0x5B0751650))
     for d in range(len(w.ptr) - 1):
-        own = sig[bound[d] : bound[d + 1]]
-        if len(own) < FEW:
-            own = np.concatenate([own, single[w.ptr[d] : w.ptr[d + 1]]])
-        own = np.sort(own)
+        own = np.sort(np.concatenate([sig[bound[d] : bound[d + 1]], value[rest[d] : rest[d + 1]]]))
         yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
