@@ -26,6 +26,8 @@ MOST_TRAINED = 6000
 TREES, DEPTH, SEED = 20, 6, 17
 SECRET = 0.5
 MASK = "[SECRET]"
+#: Words whose lengths are summed at once.
+STRETCH = 256
 
 KEYS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credential|private[_-]?key|client[_-]?secret"
 BENIGN = r"sha\d*|md5|checksum|digest|commit|revision|uuid|guid|build|version|isbn|serial|order|invoice|etag|hash|card|phone|tel"
@@ -197,7 +199,7 @@ def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 
 def train(findings: DataFrame) -> list:
-    """Decision trees from labelled findings (word, before, after, label), at most ``MOST_TRAINED``; rows without a candidate word don't count.
+    """Decision trees from labelled findings (word, before, after, label), at most ``MOST_TRAINED / 2`` of each label, chosen by a hash; rows without a candidate word don't count.
 
     Without both labels a single leaf.
     """
@@ -205,7 +207,9 @@ def train(findings: DataFrame) -> list:
     from pyspark.ml.feature import VectorAssembler
 
     findings = save(findings.select("word", "before", "after", "label"), f"{workspace(findings.sparkSession, 'findings')}/table")
-    f = findings.select("word", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")).filter("word IS NOT NULL AND label IN (0, 1)").limit(MOST_TRAINED)
+    f = findings.select("word", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")).filter("word IS NOT NULL AND label IN (0, 1)")
+    chosen = F.xxhash64("word", "before", "after")
+    f = f.filter("label = 1").orderBy(chosen, "word").limit(MOST_TRAINED // 2).union(f.filter("label = 0").orderBy(chosen, "word").limit(MOST_TRAINED // 2))
     f = f.withColumn("c", F.get(_found(F.col("word"), F.col("before")), 0)).filter("c IS NOT NULL")
     f = f.select("before", "after", "label", "c.near", "c.key", "c.value")
     cols = features(F.col("near"), F.col("key"), F.col("value"), F.col("before"), F.col("after"))
@@ -248,63 +252,75 @@ def forest(trees: list, x: Column) -> Column:
     return total / F.lit(float(len(trees)))
 
 
-def _candidates(words: Column, keys: Column) -> Column:
-    """array<struct(i, o, key, value, near, before, after)> over the words of a text; ``keys`` says that it names a credential at all."""
+def _size(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+
+
+def _ends(words: Column) -> Column:
+    """Code points before each stretch of ``STRETCH`` words."""
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / F.lit(STRETCH)).cast("int")), lambda b: _size(F.slice(words, b * STRETCH + 1, STRETCH)))
+    return F.aggregate(stretches, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _offset(words: Column, ends: Column, i: Column) -> Column:
+    """Code points before word ``i``; no more than a stretch is looked at."""
+    b = F.floor(i / F.lit(STRETCH)).cast("int")
+    return F.get(ends, b) + _size(F.slice(words, b * STRETCH + 1, i - b * STRETCH))
+
+
+def _candidates(words: Column, ends: Column, keys: Column) -> Column:
+    """array<struct(start, key, value, near, before, after)> over the words of a text; ``keys`` says that it names a credential at all."""
     at = lambda i: F.coalesce(F.trim(F.regexp_replace(F.get(words, i), r"\s+$", "")), F.lit(""))
     keyed = lambda i: F.coalesce(F.get(words, i).rlike(f"(?i){KEYS}"), F.lit(False))
     looks = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: (F.length(s["word"]) >= 4) & (s["word"].rlike(rf"[0-9=:>]|{_KNOWN}") | (keys & (keyed(s["i"] - 1) | keyed(s["i"] - 2)))))
     near = F.transform(looks, lambda s: F.struct(s["i"].alias("i"), s["word"].alias("word"), F.trim(F.concat_ws(" ", at(s["i"] - 2), at(s["i"] - 1))).alias("before")))
     cut = F.filter(F.transform(near, lambda s: F.struct(s["i"].alias("i"), s["before"].alias("before"), _found(s["word"], s["before"]).alias("found"))), lambda s: F.size(s["found"]) > 0)
-    return F.flatten(F.transform(cut, lambda s: F.transform(s["found"], lambda c: F.struct(s["i"].alias("i"), c["o"].alias("o"), c["key"].alias("key"), c["value"].alias("value"), c["near"].alias("near"), s["before"].alias("before"), at(s["i"] + 1).alias("after")))))
+    return F.flatten(F.transform(cut, lambda s: F.transform(s["found"], lambda c: F.struct((_offset(words, ends, s["i"]) + c["o"]).alias("start"), c["key"].alias("key"), c["value"].alias("value"), c["near"].alias("near"), s["before"].alias("before"), at(s["i"] + 1).alias("after")))))
 
 
 def _scored(docs: DataFrame, trees: list, text: str) -> DataFrame:
-    """``docs`` with ``_words`` and ``_found``: its candidates with their probability."""
+    """``docs`` with ``_found``: its candidates with their probability."""
     d = docs.withColumn("_keys", F.col(text).rlike(f"(?i){KEYS}"))
-    d = d.withColumn("_words", F.when(F.col("_keys") | F.col(text).rlike(f"[0-9=:>]|{_KNOWN}"), F.split(text, r"(?<=\s)(?=\S)")))
-    # Behind a lambda the words are cut once, wherever the optimizer copies the expression to.
-    d = d.withColumn("_c", F.flatten(F.transform(F.array("_words"), lambda ws: _candidates(ws, F.col("_keys")))))
+    words = F.when(F.col("_keys") | F.col(text).rlike(f"[0-9=:>]|{_KNOWN}"), F.split(text, r"(?<=\s)(?=\S)"))
+    # Behind lambdas the words are cut and measured once, wherever the optimizer copies the expression to.
+    measured = F.transform(F.array(words), lambda ws: F.struct(ws.alias("w"), _ends(ws).alias("e")))
+    d = d.withColumn("_c", F.flatten(F.transform(measured, lambda m: _candidates(m["w"], m["e"], F.col("_keys")))))
     d = d.withColumn("_f", F.transform("_c", lambda s: F.array(*features(s["near"], s["key"], s["value"], s["before"], s["after"]))))
     p = F.transform("_f", lambda x: forest(trees, x))
     return d.withColumn("_found", F.arrays_zip(F.col("_c").alias("c"), p.alias("p"))).drop("_keys", "_c", "_f")
 
 
-def _start(c: Column) -> Column:
-    """Code point offset in the text of a candidate's value."""
-    return F.length(F.array_join(F.slice("_words", 1, c["i"]), "")) + c["o"]
-
-
-def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | list | None = None, text: str = "text") -> DataFrame:
     """(doc_id, start, end, key, value_sha256, probability, secret), one row for each candidate of ``docs`` (doc_id, text, any others).
 
     ``start`` and ``end`` are code point offsets of the value; the value itself is given as a digest only.
-    ``secret`` is probability >= 0.5. Null and empty texts have no candidates; repeated rows repeat their candidates; an empty table
+    ``findings`` are labelled findings or the trees that ``train`` made of some. ``secret`` is probability >= 0.5. Null and empty texts have no candidates; repeated rows repeat their candidates; an empty table
     gives an empty result. Other columns are ignored.
     """
-    trees = train(findings if findings is not None else synthetic_findings(docs.sparkSession))
+    trees = findings if isinstance(findings, list) else train(findings if findings is not None else synthetic_findings(docs.sparkSession))
     d = docs.select("doc_id", F.col(text).alias("text"))
-    found = _scored(d, trees, "text").select("doc_id", "_words", F.explode_outer("_found").alias("s")).filter("s IS NOT NULL")
+    found = _scored(d, trees, "text").select("doc_id", F.explode("_found").alias("s"))
     c = F.col("s.c")
-    start = _start(c).cast("long")
+    start = c["start"].cast("long")
     return found.select("doc_id", start.alias("start"), (start + F.length(c["value"])).alias("end"), c["key"].alias("key"), F.sha2(c["value"].cast("binary"), 256).alias("value_sha256"), F.col("s.p").alias("probability"), (F.col("s.p") >= SECRET).alias("secret"))
 
 
-def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, findings: DataFrame | list | None = None) -> DataFrame:
     """``docs`` (text, any others) with every secret value replaced by ``MASK``, all rows and columns kept.
 
     ``n_chars``, where there is one, follows the new text.
     """
-    trees = train(findings if findings is not None else synthetic_findings(docs.sparkSession))
-    d = _scored(docs, trees, "text")
+    trees = findings if isinstance(findings, list) else train(findings if findings is not None else synthetic_findings(docs.sparkSession))
+    d = _scored(docs.select("text", F.struct(*docs.columns).alias("row")), trees, "text")
     bad = F.filter("_found", lambda s: s["p"] >= SECRET)
-    d = d.withColumn("_bad", F.transform(bad, lambda s: F.struct(_start(s["c"]).alias("start"), F.length(s["c"]["value"]).alias("n"))))
+    d = d.withColumn("_bad", F.transform(bad, lambda s: F.struct(s["c"]["start"].alias("start"), F.length(s["c"]["value"]).alias("n"))))
     behind = lambda i: F.coalesce(F.get("_bad", i - 1)["start"] + F.get("_bad", i - 1)["n"], F.lit(0))
     kept = F.transform("_bad", lambda s, i: F.concat(F.substring("text", behind(i) + 1, s["start"] - behind(i)), F.lit(MASK)))
     masked = F.concat(F.array_join(kept, ""), F.substring("text", behind(F.size("_bad")) + 1, F.length("text")))
     d = d.withColumn("text", F.when(F.size("_bad") > 0, masked).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("_bad") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    row = F.col("row")
+    new = {"text": F.col("text"), "n_chars": F.when(F.size("_bad") > 0, F.length("text").cast("long")).otherwise(row["n_chars"]) if "n_chars" in docs.columns else None}
+    return d.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
