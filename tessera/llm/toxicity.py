@@ -242,11 +242,14 @@ def remainder(n: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on labelled documents whose remainder is not 1, at most ``MOST_TRAINED`` of each label."""
+    """Train on labelled documents whose remainder is not 1, at most ``MOST_TRAINED`` of each label.
+
+    Ids may repeat in ``docs``: of the rows found, at most ``4 * sum(MOST_TRAINED)`` are read, chosen by a hash of id and text.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter((remainder(3) != 1) & F.col("toxic").isin(0, 1))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = known.filter("toxic = 1").orderBy(order).limit(MOST_TRAINED[1]).union(known.filter("toxic = 0").orderBy(order).limit(MOST_TRAINED[0]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy("doc_id", "text").limit(4 * sum(MOST_TRAINED)).select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").orderBy(order, F.xxhash64("text")).limit(4 * sum(MOST_TRAINED)).select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
@@ -261,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(found[0].table, np.float32), found[0].bias) if found else train([], np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score``, the model's probability of label 1; null scores as empty."""
+def score(docs: DataFrame, model: Model, keep: list[str], to: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` and ``to``, the model's probability of label 1; null scores as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
     kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema, at = kept.schema[: len(keep)], kept.columns.index("text")
@@ -272,11 +275,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             text = plain(batch.column(at))
             parts = [m.score(text.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*keep, to])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return kept.mapInArrow(run, StructType([*schema, StructField("score", DoubleType())]))
+    return kept.mapInArrow(run, StructType([*schema, StructField(to, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
