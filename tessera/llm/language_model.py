@@ -46,14 +46,23 @@ BLOB = "part int, keys binary, counts binary"
 def squeeze(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted keys as differences, and counts, with bytes of one place side by side, deflated."""
     gaps = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    many = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    many = counts.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
     return zlib.compress(np.ascontiguousarray(gaps), 1), zlib.compress(np.ascontiguousarray(many), 1)
 
 
 def unsqueeze(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     gaps = np.frombuffer(zlib.decompress(keys), np.uint8).reshape(8, -1).T
-    many = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(4, -1).T
-    return np.cumsum(np.ascontiguousarray(gaps).view("<u8").ravel(), dtype=U64), np.ascontiguousarray(many).view("<u4").ravel().astype(np.int64)
+    many = np.zeros((len(gaps), 8), np.uint8)
+    if len(gaps):
+        planes = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(-1, len(gaps))
+        many[:, : len(planes)] = planes.T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u8").ravel(), dtype=U64), many.view("<u8").ravel().astype(np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs more; ``Store.counts`` tells by the size."""
+    return counts.astype("<u4" if int(counts.max(initial=0)) < 1 << 32 else "<u8").tobytes()
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
@@ -108,6 +117,12 @@ class Store:
             self.maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
         return self.maps[name]
 
+    def counts(self, name: str, n: int) -> np.ndarray:
+        """The ``n`` counts that ``packed`` wrote."""
+        path = f"{self.root}/{name}"
+        wide = os.path.exists(path) and os.path.getsize(path) == 8 * n
+        return self.file(name, "<u8" if wide else "<u4")
+
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each of the sorted distinct hashes."""
         ident, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
@@ -119,7 +134,7 @@ class Store:
                 at = np.minimum(np.searchsorted(known, part), len(known) - 1)
                 hit = known[at] == part
                 ident[bound[b] : bound[b + 1]] = np.where(hit, self.base[b] + at, -1)
-                count[bound[b] : bound[b + 1]] = np.where(hit, self.file(f"counts-{b}", "<u4")[at], 0)
+                count[bound[b] : bound[b + 1]] = np.where(hit, self.counts(f"counts-{b}", len(known))[at], 0)
         return ident, count
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
@@ -131,7 +146,7 @@ class Store:
             known = self.file(f"keys-{part[lo]}", "<u8")
             if len(known):
                 i = np.minimum(np.searchsorted(known, keys[lo:hi]), len(known) - 1)
-                out[lo:hi] = np.where(known[i] == keys[lo:hi], self.file(f"times-{part[lo]}", "<u4")[i], 0)
+                out[lo:hi] = np.where(known[i] == keys[lo:hi], self.counts(f"times-{part[lo]}", len(known))[i], 0)
         return out
 
 
@@ -190,7 +205,7 @@ def train(docs: DataFrame, path: str) -> Store:
     def merge_words(table: pa.Table) -> pa.Table:
         b, k, c = _merge(table)
         put(f"{root}/words-{b}", k.astype("<u8").tobytes())
-        put(f"{root}/counts-{b}", c.astype("<u4").tobytes())
+        put(f"{root}/counts-{b}", packed(c))
         # Words frequent enough to have their own ranges are few: at most one in PER_RANGE / 2 tokens.
         often = np.flatnonzero(c >= PER_RANGE // 2)
         return pa.table({"part": [b], "n": [len(k)], "total": [int(c.sum())], "at": [often.tolist()], "c": [c[often].tolist()]}, schema=bucket)
@@ -230,7 +245,7 @@ def train(docs: DataFrame, path: str) -> Store:
     def merge_pairs(table: pa.Table) -> pa.Table:
         part, k, c = _merge(table)
         put(f"{root}/keys-{part}", k.astype("<u8").tobytes())
-        put(f"{root}/times-{part}", c.astype("<u4").tobytes())
+        put(f"{root}/times-{part}", packed(c))
         first, second = (k >> U64(32)).astype(np.int64), k & U64(0xFFFFFFFF)
         out = {"kind": [], "part": [], "keys": [], "counts": []}
 
@@ -257,9 +272,9 @@ def train(docs: DataFrame, path: str) -> Store:
             times = np.sum([np.frombuffer(x.as_py(), "<i8") for x in table["keys"]], axis=0)
             return pa.table({"kind": [kind], "n": [0], "times": [times.tolist()]}, schema=summed)
         _, ids, n = _merge(table)
-        dense = np.zeros(step, "<u4")
+        dense = np.zeros(step, np.int64)
         dense[ids.astype(np.int64) - part * step] = n
-        put(f"{root}/{kind}-{part}", dense.tobytes())
+        put(f"{root}/{kind}-{part}", packed(dense))
         return pa.table({"kind": [kind], "n": [int(n.sum())], "times": [np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()]}, schema=summed)
 
     sums = docs.mapInArrow(pairs, BLOB).groupBy("part").applyInArrow(merge_pairs, f"kind string, {BLOB}")
@@ -301,7 +316,7 @@ def _dense(s: Store, kind: str, ids: np.ndarray) -> np.ndarray:
     got = np.zeros(len(u))
     part = np.where(u < 0, -1, u // s.facts["step"])
     for p in np.unique(part[part >= 0]):
-        a = s.file(f"{kind}-{p}", "<u4")
+        a = s.counts(f"{kind}-{p}", s.facts["step"])
         if len(a):
             m = part == p
             got[m] = a[u[m] - p * s.facts["step"]]
