@@ -70,43 +70,57 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     of the new ones are replaced. Equal input gives equal output whatever the partitioning.
     """
     new = ("size", "source_size", "target", "copies", "taken")
-    sized = docs.drop(*new).withColumn("size", word_count(F.col("text")))
-    return _ranked(sized, weights, most, seed)
+    kept = [c for c in docs.columns if c.lower() not in new]
+    out = _ranked(_sized(docs, F.struct(*kept)), weights, most, seed)
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *new)
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as many times as the mix takes it."""
+    out = _ranked(_sized(docs, F.struct(*docs.columns)), weights, most, seed).filter("copies > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    """(doc_id, source, size, salt, tie, row): the salt is a hash of id and text, so neither a repeated id nor copies of a text share one part."""
+    whole = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    salt = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 4), 16, 10).cast("int") % SALTS
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), salt.alias("salt"), F.xxhash64("text").alias("tie"), row.alias("row"))
 
 
 def _ranked(sized: DataFrame, weights: tuple[float, ...], most: int, seed: str) -> DataFrame:
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % SALTS
-    # A null source has the key "\0", so that windows and joins share one plain hash partitioning.
-    key = F.coalesce("source", F.lit("\0"))
-    kept = [c for c in sized.columns if c not in ("source", "size")]
-    d = sized.select(key.alias("_key"), "source", "size", _size_class(F.col("size")).alias("_class"), salt.alias("_salt"), F.struct(*kept).alias("_row"))
+    """(doc_id, source, size, row) of ``sized`` with source_size, target, copies, taken."""
+    # Null and other sources have keys that begin differently, so that windows and joins share one plain hash partitioning.
+    key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
+    d = sized.select(key.alias("_key"), "doc_id", "source", "size", _size_class(F.col("size")).alias("_class"), F.col("salt").alias("_salt"), "tie", "row")
     counts = d.groupBy("_key", "_class", "_salt").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
     plan = targets(counts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most).withColumn("_key", key)
     along = Window.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     starts = counts.select("_key", "_class", "_salt", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
     starts = starts.join(plan.drop("source"), "_key").withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("_u", u)
-    within = Window.partitionBy("_key", "_class", "_salt").orderBy("size", F.col("_row.doc_id").asc_nulls_last(), F.xxhash64("_row.text"))
+    within = Window.partitionBy("_key", "_class", "_salt").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")
     j = d.withColumn("_rn", F.row_number().over(within)).join(starts, ["_key", "_class", "_salt"])
     rank = F.col("_before") + F.col("_rn")
     copies = (F.floor(F.col("_e") * rank + F.col("_u")) - F.floor(F.col("_e") * (rank - 1) + F.col("_u"))).cast("long")
     # A product that rounds across an integer may add a crossing; never go above the stated most.
     j = j.withColumn("copies", F.least(copies, F.lit(most).cast("long")))
-    return j.select(*[F.col(f"_row.{c}").alias(c) for c in kept], "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return j.select("doc_id", "source", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The mix over all documents; the texts are counted once and never moved."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), f"{workspace(spark, 'mix')}/sizes")
-    out = _ranked(sized.withColumn("text", F.lit(None).cast("string")), WEIGHTS, MOST_COPIES, SEED)
+    sized = save(_sized(docs, F.lit(0)), f"{workspace(spark, 'mix')}/sizes")
+    out = _ranked(sized, WEIGHTS, MOST_COPIES, SEED)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4))::INTEGER % 64 AS salt
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 4))::INTEGER % 64 AS salt
   FROM documents),
 c AS (
   SELECT *, CASE WHEN size <= 1024 THEN size ELSE CAST(1024 + floor(log2(greatest(size, 1))) * 16 + floor(size / pow(2.0, floor(log2(greatest(size, 1)))) * 16) AS BIGINT) END AS class
@@ -125,7 +139,7 @@ k AS (
   SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS LAST) AS rn FROM c),
 e AS (
   SELECT k.doc_id, k.size, t.source_size, t.target, k.rn, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS e,
-         CAST(('0x' || substr(md5('mix-1|' || coalesce(k.source, chr(0))), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u
+         CAST(('0x' || substr(md5('mix-1|' || coalesce('1' || k.source, '0')), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(least(floor(e * rn + u) - floor(e * (rn - 1) + u), 3) AS BIGINT) * size AS taken FROM e
 """

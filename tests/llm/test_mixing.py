@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessera.llm.mixing import mix
+from tessera.llm.mixing import mix, repeated
 
 
 def water(sizes, weights=(5.0, 2.0, 1.0), most=3):
@@ -51,5 +51,25 @@ def test_hot_source_and_odd_rows(spark, words):
     check(mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect(), words)
 
 
+def test_source_that_looks_like_null(spark, words):
+    rows = [(1, None, "a b"), (2, "\0", "c d e"), (3, "0", "f"), (4, "1", "g h"), (5, "", "i j")]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5]
+    check(got, words)
+
+
+def test_one_id_for_all_rows_and_long_text(spark, words):
+    rows = [(None, "s", f"word{i} " * (i % 7)) for i in range(2000)] + [(1, "t", "w " * 60000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    check(mix(docs).collect(), words)
+    assert mix(docs).filter("size > 0").groupBy("source").agg(F.countDistinct("copies")).count() == 2
+
+
+def test_repeated_keeps_columns(spark, words):
+    docs = spark.createDataFrame([(i, "s", "a b", 7, 8, "x") for i in range(30)], "doc_id long, source string, text string, size int, row int, copies string")
+    got = repeated(docs)
+    assert got.columns == docs.columns and {(r.size, r.row, r.copies) for r in got.collect()} == {(7, 8, "x")} and got.count() == 30
+
+
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
