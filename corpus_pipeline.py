@@ -7,27 +7,37 @@ mix drops a document that its decision does not concern.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dedup, packing, secrets, toxicity
-from tessera.llm.shared import save, workspace
+from tessera.llm.shared import fresh, save, workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold of a model fitted to the labelled ones among them."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.filter(F.col("score") < toxicity.REJECT).drop("score")
+    score = fresh(docs, "score")
+    return toxicity.score(docs, model, docs.columns, score).filter(F.col(score) < toxicity.REJECT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at five-word shingles and similarity 0.8; of rows with one doc_id the first by text."""
-    found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.filter("NOT kept").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_nth", nth)
-    return left.filter("_nth = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group at five-word shingles and similarity 0.8: that of the least doc_id (null last), then the least hash.
+
+    Rows are told apart by a hash of doc_id and text, so rows that share an id but not a text are documents of
+    their own, and so are rows without an id. Of rows equal in both one stays. Rows without words are in no group and all stay.
+    """
+    key, least = fresh(docs, "_key"), "_least"
+    d = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = d.filter(worded)
+    found = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80)
+    ids = rows.select(F.col(key).alias("key"), "doc_id").distinct()
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias(least))
+    stay = first.select(F.col(f"{least}.key").alias(key))
+    left = rows.join(stay, key, "left_semi").dropDuplicates([key, "doc_id"])
+    return left.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +47,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
