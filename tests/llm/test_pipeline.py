@@ -91,3 +91,19 @@ def test_odd_rows(spark, sf):
             out = stage(spark, out, sf)
             assert name == "pack" or out.columns == docs.columns
         out.collect()
+
+
+def test_rows_that_share_an_id_or_have_none(spark, sf):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, a, 5), (1, b, 5), (None, a, 6), (None, "x y", 6), (2, b, 7), (2, b, 7), (3, "", 8), (3, "", 8), (4, None, 9)], "doc_id long, text string, _key int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, 5), (1, b, 5), (None, "x y", 6), (3, "", 8), (3, "", 8), (4, None, 9)], key=str)
+
+
+def test_clashing_columns(spark, sf):
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 5, 1, 2, 3, 4, 5, 6)], "doc_id long, text string, lang string, source string, n_chars long, score int, size int, target int, _found int, _key int, row int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    assert [tuple(r)[5:] for r in docs.distinct().collect()] in ([(1, 2, 3, 4, 5, 6)], [])
+    assert docs.columns[5:] == ["score", "size", "target", "_found", "_key", "row"]
