@@ -71,6 +71,24 @@ def compress(content: Column, codec: str, level: int = -1) -> Column:
     return _mapped(lambda x: one(x, codec, level))(content)
 
 
+def encoded(content: Column, codec: str, level: int, kind: str) -> Column:
+    """struct(payload, checksum): encoding and checksum of the stored bytes in one pass."""
+    from .codecs import compress as one
+
+    @F.pandas_udf("payload binary, checksum long")
+    def run(s):
+        import pandas as pd
+
+        from . import hashing
+
+        data = _bytes(s)
+        if codec != "none":
+            data = [one(x, codec, level) for x in data]
+        return pd.DataFrame({"payload": data, "checksum": hashing.checksum(data, kind)})
+
+    return run(content)
+
+
 def decompress(payload: Column, codec: Column, raw_size: Column) -> Column:
     """Decode stored blocks; the codec may differ by row."""
 

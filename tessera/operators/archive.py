@@ -50,10 +50,18 @@ class ArchiveTables:
     spans: DataFrame
     blocks: DataFrame
     options: WriteOptions = WriteOptions()
+    #: The blocks without ``block_offset``, for readers that don't ask where a block lies.
+    stored: DataFrame | None = None
 
     def with_(self, **changed) -> ArchiveTables:
+        if "blocks" in changed:
+            changed.setdefault("stored", None)
         return replace(self, **changed)
 
+    @property
+    def payloads(self) -> DataFrame:
+        return self.blocks if self.stored is None else self.stored
+
     def register(self, prefix: str = "") -> None:
         """Temp views ``files``, ``spans`` and ``blocks`` for SQL."""
         for name in ("files", "spans", "blocks"):
@@ -100,11 +108,15 @@ def directories(files: DataFrame) -> DataFrame:
     return d.select("name", F.lit("dir").alias("entry_type"), F.lit(b"").alias("content"), F.lit(paths.DIR_MODE).cast("long").alias("mode"), F.lit(1_700_000_000).cast("long").alias("mtime"), F.lit(None).cast("string").alias("symlink_target"))
 
 
-def number_files(entries: DataFrame) -> DataFrame:
-    """Storable entries with ``file_id``, their rank by the bytes of the name, and ``logical_size``."""
+def storable(entries: DataFrame) -> DataFrame:
+    """Entries that an archive can hold, with clean names and ``logical_size``, in no order."""
     e = entries.filter(F.col("entry_type").isin(*STORED)).withColumn("name", paths.clean_name(F.col("name")))
-    e = e.withColumn("logical_size", F.when(F.col("entry_type") == "file", F.octet_length("content")).otherwise(0).cast("long"))
-    return in_order(e, ["name"], "file_id")
+    return e.withColumn("logical_size", F.when(F.col("entry_type") == "file", F.octet_length("content")).otherwise(0).cast("long"))
+
+
+def number_files(entries: DataFrame) -> DataFrame:
+    """``storable`` entries with ``file_id``, their rank by the bytes of the name."""
+    return in_order(storable(entries), ["name"], "file_id")
 
 
 def canonical_files(files: DataFrame, digest: str = "digest") -> DataFrame:
@@ -176,10 +188,10 @@ def build_archive(entries: DataFrame, options: WriteOptions | None = None) -> Ar
     raw = planned.join(e.select("file_id", "content"), "file_id")
     raw = raw.select("first_block", "content", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("k"))
     raw = raw.select((F.col("first_block") + F.col("k")).alias("block_id"), F.substring("content", F.col("k") * size + 1, size).alias("raw")) if o.multiblock else raw.select(F.col("first_block").alias("block_id"), F.col("content").alias("raw"))
-    blocks = raw.select("block_id", F.octet_length("raw").cast("long").alias("raw_size"), udfs.compress(F.col("raw"), o.codec, o.level).alias("payload"))
-    blocks = blocks.withColumn("stored_size", F.octet_length("payload").cast("long")).withColumn("checksum", udfs.block_checksum(F.col("payload"), o.checksum))
+    blocks = raw.select("block_id", F.octet_length("raw").cast("long").alias("raw_size"), udfs.encoded(F.col("raw"), o.codec, o.level, o.checksum).alias("_e"))
+    blocks = blocks.select("block_id", "raw_size", F.col("_e.payload").alias("payload"), F.octet_length("_e.payload").cast("long").alias("stored_size"), F.col("_e.checksum").alias("checksum"))
     blocks = keep(blocks.withColumn("comp_algo", F.lit(o.codec)).withColumn("checksum_type", F.lit(o.checksum)), "blocks")
-    return ArchiveTables(files, spans, lay_out(blocks, o), o)
+    return ArchiveTables(files, spans, lay_out(blocks, o), o, blocks)
 
 
 def spans_of(files: DataFrame, chunked: DataFrame) -> DataFrame:

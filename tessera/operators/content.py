@@ -59,13 +59,13 @@ def read_files(at: ArchiveTables, wanted: DataFrame | None = None, verify: bool
     f = f.filter("entry_type = 'file'").select("file_id", "name", "entry_flags").distinct()
     live = f.filter(F.col("entry_flags").bitwiseAND(REDACTED) == 0)
     spans = at.spans.join(live.select("file_id"), "file_id", "left_semi")
-    blocks = at.blocks.join(spans.select("block_id").distinct(), "block_id", "left_semi")
+    blocks = at.payloads if wanted is None else at.payloads.join(spans.select("block_id").distinct(), "block_id", "left_semi")
     j = spans.join(decoded(blocks, verify), "block_id")
     outside = F.raise_error(F.concat(F.lit("span outside block "), F.col("block_id").cast("string"))).cast("binary")
     piece = F.when(F.col("offset_in_block") + F.col("length") > F.octet_length("raw"), outside).otherwise(F.substring("raw", F.col("offset_in_block").cast("int") + 1, F.col("length").cast("int")))
-    whole = j.select("file_id", "sequence_order", piece.alias("piece")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("sequence_order", "piece"))).alias("p"))
-    content = F.aggregate(F.col("p"), F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
-    return f.join(whole.select("file_id", content.alias("content")), "file_id", "left").select("file_id", "name", F.coalesce("content", F.lit(b"")).alias("content"))
+    # Pieces are laid end to end once, not appended one by one.
+    whole = j.select("file_id", "sequence_order", piece.alias("piece")).groupBy("file_id").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY sequence_order)").alias("content"))
+    return f.join(whole, "file_id", "left").select("file_id", "name", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def cat_plan(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -163,7 +163,7 @@ def validate(at: ArchiveTables) -> DataFrame:
     """
     redacted = at.files.filter(F.col("entry_flags").bitwiseAND(REDACTED) != 0).select("file_id")
     gone = at.spans.join(redacted, "file_id", "left_semi").select("block_id").distinct()
-    live = at.blocks.join(gone, "block_id", "left_anti")
+    live = at.payloads.join(gone, "block_id", "left_anti")
     fault = udfs.block_fault(*[F.col(c) for c in ("payload", "comp_algo", "raw_size", "checksum_type", "checksum")])
     v = live.select("block_id", F.when(F.col("stored_size") != F.octet_length("payload"), "truncated").otherwise(fault).alias("reason"))
     return v.select("block_id", F.col("reason").isNull().alias("valid"), "reason")

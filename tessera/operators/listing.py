@@ -41,7 +41,7 @@ def by_type(files: DataFrame) -> DataFrame:
 def header_summary(at: ArchiveTables) -> DataFrame:
     """One row: counts of files and blocks, layout label by the first entry, sizes, greatest block id."""
     first = F.min(F.struct("file_id", "entry_type", "name"))["entry_type"]
-    f = at.files.agg(F.count(F.lit(1)).alias("n_files"), F.when(first == "dir", "directory-based").otherwise("mixed").alias("layout"))
+    f = at.files.agg(F.count(F.lit(1)).alias("n_files"), F.when(first == "dir", "directory-based").when(first == "file", "mixed").otherwise("other").alias("layout"))
     b = at.blocks.agg(F.count(F.lit(1)).alias("n_blocks"), F.max("block_id").alias("max_block_id"), F.sum("raw_size").alias("raw_size"), F.sum("stored_size").alias("stored_size"))
     return f.crossJoin(b)  # one row each
 

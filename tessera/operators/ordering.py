@@ -16,16 +16,29 @@ from pyspark.sql import functions as F
 SAMPLE = 32
 
 
-def range_of(df: DataFrame, key: str, parts: int | None = None) -> Column:
-    """The number of sampled bounds at or below the key; null is below all."""
+def range_of(df: DataFrame, by: Sequence[str], parts: int | None = None) -> Column:
+    """The number of sampled bounds at or below the row's key; nulls come first.
+
+    All of ``by`` make the key, so rows that share its first column still spread over ranges. Bounds are looked up in
+    two steps, a row among every ``k``-th bound and then among ``k``, not one after the other.
+    """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = df.select(F.col(key).alias("k")).dropna().orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
-    keys = sorted(set(r.k for r in sample.collect()), key=lambda k: k.encode() if isinstance(k, str) else k)
+    key = F.struct(*by) if len(by) > 1 else F.col(by[0])
+    sample = df.select(*by).filter(F.col(by[0]).isNotNull()).orderBy(F.xxhash64(*by), *by).limit(SAMPLE * parts).select(key.alias("k")).distinct().orderBy("k")
+    keys = [r.k for r in sample.collect()]  # at most SAMPLE a range
     bounds = keys[:: max(1, len(keys) // parts)][1:]
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key)))
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    literal = lambda k: (F.struct(*[F.lit(v) for v in k]) if len(by) > 1 else F.lit(k)).cast(kind)
+    listed = lambda ks: F.array(*[literal(k) for k in ks])
+    below = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    step = max(1, int(len(bounds) ** 0.5))
+    if len(bounds) <= 64:
+        return below(listed(bounds))
+    first = below(listed(bounds[::step]))
+    return F.when(first == 0, 0).otherwise((first - 1) * step + below(F.slice(listed(bounds), (first - 1) * step + 1, step)))
 
 
 def in_order(df: DataFrame, by: Sequence[str], ordinal: str | None = None, sums: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
@@ -34,7 +47,7 @@ def in_order(df: DataFrame, by: Sequence[str], ordinal: str | None = None, sums:
     ``sums`` maps new columns to the summed ones. Nulls come first; ties in ``by`` are in any order.
     """
     sums = sums or {}
-    d = df.withColumn("_range", range_of(df, by[0], parts))
+    d = df.withColumn("_range", range_of(df, by, parts))
     per = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1000
 CAP = 512 << 20
+#: Query vectors that a task holds at once.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -91,10 +93,45 @@ def memory_stats(df: DataFrame, vector: str, names: str | None = None) -> DataFr
     return df.agg(n.alias("n_items"), (dim * 4).cast("long").alias("bytes_per_item"), (n * dim * 4 + extra).cast("long").alias("estimated_bytes"))
 
 
-def top_k(df: DataFrame, queries: list[list[float]], key: str, vector: str, k: int = 10) -> DataFrame:
-    """(query, key, similarity): brute-force cosine neighbours of literal queries; partial top lists are merged, never whole tables."""
+def top_k(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """(query, key, similarity): the ``k`` nearest rows of ``df`` by cosine, then key, for every row of ``queries`` (query, vector).
+
+    Exact, all queries against all rows in blocks: queries lie in the shared folder in blocks of ``BLOCK``, a task holds one block and
+    one batch of rows at a time, and each batch hands on at most ``k`` rows a query. Null vectors and those of another length have no neighbours.
+    """
+    from .ordering import in_order
+    from .work import keep
+
+    asked = in_order(queries.select("query", "vector").filter("vector IS NOT NULL"), ["query"], "_n")
+    listed = keep(asked.select("query", "vector", F.floor(F.col("_n") / BLOCK).alias("block")), "queries")
     out = None
-    for i, q in enumerate(queries):
-        d = df.select(F.lit(i).alias("query"), key, cosine(F.col(vector), F.lit(q).cast("array<double>")).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
-        out = d if out is None else out.unionByName(d)
-    return out
+    for b in sorted(r.block for r in listed.select("block").distinct().collect()):  # one number a block
+        rows = [(r["query"], r.vector) for r in listed.filter(F.col("block") == b).collect()]  # at most BLOCK
+        part = _nearest(df, rows, key, vector, k)
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else _nearest(df, [], key, vector, k)
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return out.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")
+
+
+def _nearest(df: DataFrame, rows: list, key: str, vector: str, k: int) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sizes = sorted({len(v) for _, v in rows})
+        groups = [(np.array([q for q, v in rows if len(v) == n]), np.array([v for _, v in rows if len(v) == n], float).reshape(-1, n)) for n in sizes]
+        for batch in batches:
+            keys, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for n, (ids, q) in zip(sizes, groups, strict=True):
+                at = [i for i, v in enumerate(own) if v is not None and len(v) == n]
+                for lo in range(0, len(at), 4096):
+                    part = at[lo : lo + 4096]
+                    x, names = np.array([own[i] for i in part], float).reshape(len(part), n), np.array([keys[i] for i in part])
+                    scale = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+                    s = np.where(scale < 1e-8, 0.0, (q @ x.T) / np.maximum(scale, 1e-300))
+                    for i in range(len(ids)):
+                        top = np.lexsort((names, -s[i]))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[i])), pa.array(names[top]), pa.array(s[i][top])], names=["query", key, "similarity"])
+
+    return df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, f"query long, {key} long, similarity double")

@@ -14,11 +14,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     What feeds several branches of a plan is computed once, lineage ends there, and a lost executor loses nothing.
-    Only where no folder is set (tests) a local one is made. It is removed when the driver ends.
+    Where no folder is set, a local one is made on a local master (tests); on a cluster that is an error. It is removed when the driver ends.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root[7:], ignore_errors=True)

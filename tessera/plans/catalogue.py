@@ -18,6 +18,7 @@ from ..operators import archive as ar
 from ..operators import content, diffing, listing, minhash, names, vectors
 from ..operators.ordering import in_order
 from ..operators.work import keep
+from . import kernel_sql
 
 BLOCK = 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,12 +44,23 @@ def entries(spark, sf) -> DataFrame:
     return ar.entries_of_documents(table(spark, sf, "documents"))
 
 
+def unordered(spark, sf) -> DataFrame:
+    """Files without ``file_id``, for what needs no order."""
+    return ar.storable(entries(spark, sf))
+
+
 def files(spark, sf) -> DataFrame:
     return ar.number_files(entries(spark, sf))
 
 
+def digested(spark, sf) -> DataFrame:
+    """Numbered files with digests in place of the content, which stays out of the sort."""
+    e = unordered(spark, sf).withColumns({"md5": F.md5("content"), "sha256": F.sha2("content", 256)}).drop("content")
+    return in_order(e, ["name"], "file_id")
+
+
 def hashed(spark, sf) -> DataFrame:
-    f = files(spark, sf)
+    f = unordered(spark, sf)
     return f.withColumn("hash", F.when(F.col("entry_type") == "file", F.unhex(F.sha2("content", 256)))).withColumn("entry_flags", F.lit(0))
 
 
@@ -61,13 +73,12 @@ def chunked(spark, sf) -> DataFrame:
 
 
 def deduped(spark, sf) -> DataFrame:
-    f = files(spark, sf).withColumn("digest", F.sha2("content", 256)).drop("content")
-    return ar.canonical_files(f)
+    return ar.canonical_files(digested(spark, sf).drop("md5").withColumnRenamed("sha256", "digest"))
 
 
 def shared_spans(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Files and spans of the deduplicated archive."""
-    f = deduped(spark, sf)
+    f = keep(deduped(spark, sf), "files")
     spans = ar.spans_of(f, ar.chunks(ar.plan_blocks(f, OPTIONS), OPTIONS))
     return f.withColumn("entry_flags", F.lit(int(EntryFlag.STRONG_HASH))).withColumn("hash", F.col("digest")), spans
 
@@ -97,7 +108,7 @@ def wanted(spark, sf) -> DataFrame:
     return low.unionByName(lost)
 
 
-# --- SQL building blocks ---------------------------------------------------------------------
+# --- SQL building blocks
 
 _FILES = """
 ent AS (
@@ -148,7 +159,7 @@ def sql_bytes(c: str) -> str:
  WHEN {v} / 1073741824.0 < 1024 THEN printf('%.2f GB', {v} / 1073741824.0) ELSE printf('%.2f TB', {v} / 1099511627776.0) END"""
 
 
-# --- listings --------------------------------------------------------------------------------
+# --- listings
 
 
 @query(f"WITH {_FILES} SELECT file_id, name, entry_type, logical_size, CASE entry_type WHEN 'dir' THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode_text FROM files")
@@ -173,12 +184,12 @@ def list_json(spark, sf):
 
 @query(f"WITH {_FILES} SELECT count(*) AS n_entries, CAST(sum(logical_size) AS BIGINT) AS total_size FROM files")
 def list_totals(spark, sf):
-    return listing.totals(files(spark, sf))
+    return listing.totals(unordered(spark, sf))
 
 
 @query(f"WITH {_FILES} SELECT entry_type, count(*) AS n_entries, CAST(sum(logical_size) AS BIGINT) AS total_size FROM files GROUP BY entry_type")
 def entry_type_counts(spark, sf):
-    return listing.by_type(files(spark, sf))
+    return listing.by_type(unordered(spark, sf))
 
 
 @query(f"WITH {_FILES}, {_CHUNKS} SELECT (SELECT count(*) FROM files) AS n_files, 'directory-based' AS layout, count(*) AS n_blocks, max(block_id) AS max_block_id, CAST(sum(raw_size) AS BIGINT) AS raw_size FROM chunks")
@@ -191,13 +202,13 @@ def header_summary(spark, sf):
 
 @query(f"WITH {_FILES} SELECT CAST(length(name) - length(replace(name, '/', '')) + 1 AS BIGINT) AS depth, count(*) AS n_entries FROM files GROUP BY 1")
 def path_depth_hist(spark, sf):
-    return listing.depth_histogram(files(spark, sf))
+    return listing.depth_histogram(unordered(spark, sf))
 
 
 @query("""WITH d AS (SELECT lang, source, octet_length(encode(coalesce(text, ''))) AS s FROM documents)
 SELECT lang AS directory, count(*) AS n_files, CAST(sum(s) AS BIGINT) AS total_size FROM d GROUP BY lang UNION ALL SELECT lang || '/' || source, count(*), CAST(sum(s) AS BIGINT) FROM d GROUP BY lang, source""")
 def dir_rollup_sizes(spark, sf):
-    return listing.directory_sizes(files(spark, sf))
+    return listing.directory_sizes(unordered(spark, sf))
 
 
 @query(f"WITH {_FILES} SELECT file_id, {sql_bytes('logical_size')} AS size_text, CASE WHEN logical_size >= 1000000 THEN CAST(logical_size // 1000000 AS VARCHAR) || 'M' WHEN logical_size >= 1000 THEN CAST(logical_size // 1000 AS VARCHAR) || 'K' ELSE CAST(logical_size AS VARCHAR) END AS count_text FROM files")
@@ -205,7 +216,7 @@ def size_formats(spark, sf):
     return files(spark, sf).select("file_id", fmt.format_bytes(F.col("logical_size")).alias("size_text"), fmt.format_count(F.col("logical_size")).alias("count_text"))
 
 
-# --- lookup and paths ------------------------------------------------------------------------
+# --- lookup and paths
 
 
 def _joined(alias: str) -> str:
@@ -219,14 +230,13 @@ def get_many(spark, sf):
 
 @query(f"WITH {_FILES} SELECT file_id, name, md5(text) AS md5 FROM files WHERE name = (SELECT min(name) FROM files WHERE entry_type = 'file')")
 def get_by_name(spark, sf):
-    f = files(spark, sf)
-    least = f.filter("entry_type = 'file'").agg(F.min("name").alias("name")).withColumn("pos", F.lit(0))
-    return content.find(f, least).select("file_id", "name", F.md5("content").alias("md5"))
+    least = unordered(spark, sf).filter("entry_type = 'file'").agg(F.min("name").alias("name")).withColumn("pos", F.lit(0))
+    return content.find(digested(spark, sf), least).select("file_id", "name", "md5")
 
 
 @query("SELECT -1 - item_id AS pos, 'lost/' || CAST(item_id AS VARCHAR) || '.txt' AS name FROM benchmark")
 def find_missing(spark, sf):
-    return content.missing(files(spark, sf), wanted(spark, sf))
+    return content.missing(unordered(spark, sf), wanted(spark, sf))
 
 
 @query(f"WITH {_FILES} SELECT file_id, regexp_replace(name, '^[^/]*/', '') AS stripped FROM files WHERE contains(name, '/')")
@@ -247,7 +257,7 @@ def page_segments(spark, sf):
     return p.select("page_id", F.size(paths.segments(name)).cast("long").alias("n_segments"), paths.is_safe(name).alias("safe"))
 
 
-# --- blocks ----------------------------------------------------------------------------------
+# --- blocks
 
 
 @query(f"WITH {_FILES}, {_CHUNKS} SELECT file_id, seq AS sequence_order, block_id, seq * {BLOCK} AS \"offset\", raw_size FROM chunks")
@@ -292,10 +302,10 @@ def cat_offsets(spark, sf):
 
 @query(f"WITH {_FILES} SELECT file_id, md5(text) AS md5, sha256(text) AS sha256 FROM files WHERE entry_type = 'file'")
 def content_digest(spark, sf):
-    return files(spark, sf).filter("entry_type = 'file'").select("file_id", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    return digested(spark, sf).filter("entry_type = 'file'").select("file_id", "md5", "sha256")
 
 
-# --- deduplication ---------------------------------------------------------------------------
+# --- deduplication
 
 
 @query(f"WITH {_FILES}, {_DEDUP} SELECT file_id, canonical_id, canonical_id <> file_id AS shared FROM dd")
@@ -314,7 +324,7 @@ def dedup_spans(spark, sf):
     return shared_spans(spark, sf)[1].select("file_id", F.col("sequence_order").cast("long").alias("sequence_order"), "block_id", "length")
 
 
-# --- comparison ------------------------------------------------------------------------------
+# --- comparison
 
 
 def compared(spark, sf) -> DataFrame:
@@ -361,12 +371,12 @@ def diff_one_side_hash(spark, sf):
 
 @query(f"WITH {_FILES}, {_SECOND} SELECT name FROM second EXCEPT SELECT name FROM files")
 def added_paths(spark, sf):
-    return second_archive(spark, sf).select("name").join(files(spark, sf), "name", "left_anti").distinct()
+    return second_archive(spark, sf).select("name").join(unordered(spark, sf), "name", "left_anti").distinct()
 
 
 @query(f"WITH {_FILES}, {_SECOND} SELECT name FROM files EXCEPT SELECT name FROM second")
 def deleted_paths(spark, sf):
-    return files(spark, sf).select("name").join(second_archive(spark, sf), "name", "left_anti").distinct()
+    return unordered(spark, sf).select("name").join(second_archive(spark, sf), "name", "left_anti").distinct()
 
 
 @query(f"""WITH {_FILES}, {_SECOND}, old AS (SELECT sha256(text) AS h FROM files WHERE entry_type = 'file' GROUP BY 1)
@@ -378,7 +388,7 @@ def block_delta(spark, sf):
     return d.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- redaction and validation ----------------------------------------------------------------
+# --- redaction and validation
 
 _HIT = f"""{_LAB}, tox AS (SELECT name FROM ld WHERE toxic = 1), bb AS (SELECT DISTINCT block_id FROM spans WHERE name IN (SELECT name FROM tox)), hit AS (SELECT DISTINCT file_id FROM spans WHERE block_id IN (SELECT block_id FROM bb))"""
 
@@ -407,7 +417,7 @@ def damaged(spark, sf) -> ar.ArchiveTables:
     """The blocks of an archive whose redacted files are skipped and whose short blocks carry a wrong checksum."""
     at = ar.build_archive(entries(spark, sf), ar.WriteOptions(codec="none", checksum="crc32c", block_size=BLOCK, dedup=True))
     broken = F.when((F.col("raw_size") > 0) & (F.col("raw_size") < 100), F.when(F.col("checksum") == 1, 2).otherwise(1)).otherwise(F.col("checksum"))
-    return at.with_(blocks=at.blocks.withColumn("checksum", broken.cast("long")), files=content.redacted_files(at.files, at.spans, toxic_names(spark, sf)))
+    return at.with_(blocks=at.payloads.withColumn("checksum", broken.cast("long")), files=content.redacted_files(at.files, at.spans, toxic_names(spark, sf)))
 
 
 _VALID = f"WITH {_FILES}, {_DEDUP}, {_HIT}, skip AS (SELECT DISTINCT block_id FROM spans WHERE file_id IN (SELECT file_id FROM hit)), v AS (SELECT block_id, raw_size = 0 OR raw_size >= 100 AS valid FROM cch WHERE block_id NOT IN (SELECT block_id FROM skip))"
@@ -423,7 +433,7 @@ def validate_all(spark, sf):
     return content.all_valid(damaged(spark, sf))
 
 
-# --- names -----------------------------------------------------------------------------------
+# --- names
 
 _FRONT = f"""WITH {_FILES}, prev AS (SELECT file_id, name, lag(name) OVER (ORDER BY file_id) AS previous FROM files),
 pre AS (SELECT *, CASE WHEN file_id % 16 = 0 OR previous IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(least(length(name), length(previous))), lambda i: substr(name, i + 1, 1) <> substr(previous, i + 1, 1))), least(length(name), length(previous))) END AS prefix_len FROM prev)"""
@@ -455,7 +465,7 @@ def names_sorted(spark, sf):
     return names.is_sorted(files(spark, sf))
 
 
-# --- vectors ---------------------------------------------------------------------------------
+# --- vectors
 
 _VEC = """r AS (SELECT CAST(embedding AS DOUBLE[]) AS ref FROM embeddings ORDER BY vec_id LIMIT 1),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, ref FROM embeddings, r),
@@ -505,14 +515,22 @@ def vector_memory_stats(spark, sf):
     return vectors.memory_stats(table(spark, sf, "embeddings"), "embedding")
 
 
-@query(f"WITH {_VEC} SELECT 0 AS query, vec_id, round(cosine, 6) AS similarity FROM sim ORDER BY cosine DESC, vec_id LIMIT 10")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
+p AS (SELECT q.vec_id AS query, n.vec_id, CASE WHEN q.norm * n.norm < 1e-8 THEN 0.0 ELSE round(list_inner_product(q.e, n.e) / (q.norm * n.norm), 6) END AS similarity FROM n AS q, n WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC) AS place FROM p) SELECT query, place, similarity FROM r WHERE place <= 10""")
 def vector_top_k(spark, sf):
+    """The ten best similarities of every vector whose id is divisible by 20, against all; ids are left out, since rounded similarities may tie."""
+    from pyspark.sql import Window
+
     e = table(spark, sf, "embeddings")
-    return vectors.top_k(e, [vectors.reference(e, "vec_id", "embedding")], "vec_id", "embedding", 10).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+    top = vectors.top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", "embedding", 10)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id"))
+    return top.select("query", place.cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
 
 
-# --- similarity index ------------------------------------------------------------------------
+# --- similarity index
 
+#: Lanes of the sketches that SQL can make over whole tables.
 LANES = 4
 
 
@@ -521,54 +539,109 @@ def texts(spark, sf) -> DataFrame:
     return d.select(F.col("doc_id").alias("file_id"), F.col("doc_id").cast("string").alias("name"), F.lit("file").alias("entry_type"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
+def items(spark, sf) -> DataFrame:
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("file_id"), F.col("item_id").cast("string").alias("name"), F.lit("file").alias("entry_type"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+_TEXTS = "d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)"
+
+
+def _sketched(spark, sf, num_hashes: int, bits: int = 64) -> DataFrame:
+    return minhash.build(texts(spark, sf), num_hashes, bits)
+
+
+def _shown(index: DataFrame) -> DataFrame:
+    return index.select("file_id", "num_hashes", "bit_width", "seed", F.array_join(F.transform("sketch", lambda x: F.lower(F.hex(x))), ",").alias("sketch_hex"))
+
+
 @query()
 def minhash_sketch(spark, sf):
     """Default sketches of every document; lanes as text."""
-    return minhash.build(texts(spark, sf)).select("file_id", "num_hashes", "bit_width", "seed", F.array_join(F.transform("sketch", lambda x: F.lower(F.hex(x))), "").alias("sketch_hex"))
+    return _shown(_sketched(spark, sf, 128))
+
+
+@query(f"""WITH {_TEXTS}, {kernel_sql.sketches('d', 'doc_id', LANES, 64)}
+SELECT doc_id AS file_id, {LANES} AS num_hashes, 64 AS bit_width, CAST(42 AS BIGINT) AS seed, string_agg(lower(hex(v)), ',' ORDER BY i) AS sketch_hex FROM sketch GROUP BY doc_id""")
+def minhash_sketch_4(spark, sf):
+    """Sketches of few lanes, which SQL can follow over whole texts."""
+    return _shown(_sketched(spark, sf, LANES))
+
+
+def _found(spark, sf, num_hashes: int, bits: int) -> DataFrame:
+    index = keep(_sketched(spark, sf, num_hashes, bits), "index")
+    return minhash.search_all(index, index.filter("file_id % 20 = 0").select(F.col("file_id").alias("query"), "sketch"), num_hashes, bits)
 
 
 @query()
 def minhash_search(spark, sf):
-    """All documents that share a lane with the first one."""
-    index = keep(minhash.build(texts(spark, sf), 128, 32), "index")
-    first = index.orderBy("file_id").select("name").first()
-    return minhash.MinHashSearcher().search(index, first.name) if first else index.select("name", F.lit(0.0).alias("score"))
+    """All documents that share a lane with a document whose id is divisible by 20, for all of those."""
+    return _found(spark, sf, 128, 32)
+
+
+@query(f"""WITH {_TEXTS}, {kernel_sql.sketches('d', 'doc_id', LANES, 64)}, s AS (SELECT * FROM sketch WHERE v <> 18446744073709551615)
+SELECT q.doc_id AS query, s.doc_id AS file_id, count(*) / {LANES}.0::DOUBLE AS score FROM s AS q JOIN s ON q.i = s.i AND q.v = s.v WHERE q.doc_id % 20 = 0 GROUP BY ALL""")
+def minhash_search_4(spark, sf):
+    return _found(spark, sf, LANES, 64)
+
+
+def _best(spark, sf, num_hashes: int, bits: int) -> DataFrame:
+    asked = minhash.build(items(spark, sf), num_hashes, bits).select(F.col("file_id").alias("query"), "sketch")
+    return minhash.best(minhash.search_all(_sketched(spark, sf, num_hashes, bits), asked, num_hashes, bits), 5)
 
 
 @query()
 def minhash_top_n(spark, sf):
-    index = keep(minhash.build(texts(spark, sf), 128, 32), "index")
-    item = table(spark, sf, "benchmark").orderBy("item_id").select("text").first()
-    return minhash.MinHashSearcher().search(index, item.text.encode() if item else b"", 5)
+    """The five documents most like each benchmark item."""
+    return _best(spark, sf, 128, 32)
+
+
+@query(f"""WITH {_TEXTS}, {kernel_sql.sketches('d', 'doc_id', LANES, 64)}, b AS (SELECT item_id, hex(encode(coalesce(text, ''))) AS x FROM benchmark), {kernel_sql.sketches('b', 'item_id', LANES, 64, name='asked')},
+p AS (SELECT item_id AS query, doc_id AS file_id, count(*) / {LANES}.0::DOUBLE AS score FROM asked JOIN sketch ON asked.i = sketch.i AND asked.v = sketch.v WHERE asked.v <> 18446744073709551615 GROUP BY ALL)
+SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file_id) AS place FROM p) WHERE place <= 5""")
+def minhash_top_n_4(spark, sf):
+    return _best(spark, sf, LANES, 64)
 
 
-@query("""WITH q AS (SELECT text AS t FROM benchmark ORDER BY item_id LIMIT 1),
-qs AS (SELECT list_distinct(list_transform(range(1, length(t) - 6), lambda i: substr(t, i, 8))) AS b FROM q),
-d AS (SELECT doc_id AS file_id, CASE WHEN length(text) >= 8 THEN list_distinct(list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8))) WHEN length(text) > 0 THEN [text] ELSE [] END AS a FROM documents),
-c AS (SELECT file_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS common, len(a) + len(b) AS total FROM d, qs)
-SELECT file_id, common, round(common / (total - common), 9) AS jaccard FROM c""")
+_CUT = "CASE WHEN length({t}) >= 8 THEN list_distinct(list_transform(range(1, length({t}) - 6), lambda i: substr({t}, i, 8))) WHEN length({t}) > 0 THEN [{t}] ELSE [] END"
+
+
+@query(f"""WITH a AS (SELECT item_id AS query, {_CUT.format(t='text')} AS s FROM benchmark), b AS (SELECT doc_id AS file_id, {_CUT.format(t='text')} AS s FROM documents),
+p AS (SELECT query, file_id, count(*) AS common FROM (SELECT query, unnest(s) AS x FROM a) JOIN (SELECT file_id, unnest(s) AS x FROM b) USING (x) GROUP BY ALL)
+SELECT query, file_id, common, round(common / (len(a.s) + len(b.s) - common), 9) AS jaccard FROM p JOIN a USING (query) JOIN b USING (file_id)""")
 def shingle_jaccard_exact(spark, sf):
-    item = table(spark, sf, "benchmark").orderBy("item_id").select("text").first()
+    """Exact similarity of all documents with all benchmark items that share a shingle with them."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    return minhash.shingle_jaccard(d, item.text if item else "").select("file_id", "common", F.round("jaccard", 9).alias("jaccard"))
+    return minhash.shingle_jaccard(d, asked).select("query", "file_id", "common", F.round("jaccard", 9).alias("jaccard"))
 
 
-# --- kernels ---------------------------------------------------------------------------------
+# --- kernels
 
+_BLOCKS = f"""b AS (SELECT doc_id AS file_id, hex(encode(coalesce(text, ''))) AS whole FROM documents),
+d AS (SELECT file_id, k AS sequence_order, substr(whole, k * {2 * BLOCK} + 1, {2 * BLOCK}) AS x FROM (SELECT *, unnest(range(greatest(1, (length(whole) + {2 * BLOCK - 1}) // {2 * BLOCK}))) AS k FROM b))"""
 
-@query()
+
+def text_blocks(spark, sf) -> DataFrame:
+    """(file_id, sequence_order, raw): every document's bytes in blocks; an empty one has an empty block."""
+    n = F.greatest(F.ceil(F.octet_length("content") / F.lit(BLOCK)), F.lit(1)).cast("int")
+    t = texts(spark, sf).select("file_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    return t.select("file_id", F.col("k").cast("long").alias("sequence_order"), F.substring("content", F.col("k") * BLOCK + 1, F.lit(BLOCK)).alias("raw"))
+
+
+@query(f"WITH {_BLOCKS}, {kernel_sql.h64('d')} SELECT file_id, sequence_order, CAST(h % 4294967296 AS BIGINT) AS checksum, lpad(lower(hex(CAST(h AS UBIGINT))), 16, '0') AS digest FROM hashed")
 def block_checksum_h64(spark, sf):
-    return texts(spark, sf).select("file_id", udfs.block_checksum(F.col("content"), "h64").alias("checksum"), udfs.digest_h64(F.col("content")).alias("digest"))
+    return text_blocks(spark, sf).select("file_id", "sequence_order", udfs.block_checksum(F.col("raw"), "h64").alias("checksum"), udfs.digest_h64(F.col("raw")).alias("digest"))
 
 
-@query()
+@query(f"WITH {_BLOCKS}, {kernel_sql.crc32c('d')} SELECT file_id, sequence_order, CAST(h AS BIGINT) AS checksum FROM hashed")
 def block_checksum_crc32c(spark, sf):
-    return texts(spark, sf).select("file_id", udfs.block_checksum(F.col("content"), "crc32c").alias("checksum"))
+    return text_blocks(spark, sf).select("file_id", "sequence_order", udfs.block_checksum(F.col("raw"), "crc32c").alias("checksum"))
 
 
-@query()
+@query(f"WITH {_BLOCKS}, {kernel_sql.xxh32('d')} SELECT file_id, sequence_order, CAST(h AS BIGINT) AS checksum FROM hashed")
 def block_checksum_xxh32(spark, sf):
-    return texts(spark, sf).select("file_id", udfs.block_checksum(F.col("content"), "xxh32").alias("checksum"))
+    return text_blocks(spark, sf).select("file_id", "sequence_order", udfs.block_checksum(F.col("raw"), "xxh32").alias("checksum"))
 
 
 def _codec(name: str) -> None:
