@@ -5,7 +5,7 @@ each word into pieces: values of credential keys (any symbols), values of other
 in addresses, and bare runs. Every piece that may hold a credential becomes a
 candidate with its offset, its assignment key and the neighbouring words. A random forest
 over ``FEATURES`` is trained with the DataFrame ML API on labelled findings, its trees are
-turned into one SQL expression, and that expression scores the candidates inside the row's own
+walked by one SQL expression, and that expression scores the candidates inside the row's own
 array: no shuffle, no join, no Python worker, and texts without digits, ``=``, ``:``, known forms or credential keys are never cut at all.
 
 Labelled findings are a table (word, before, after, label) of any origin. ``synthetic_findings`` makes a
@@ -239,16 +239,39 @@ def parse(text: str) -> list | float:
 
 
 def forest(trees: list, x: Column) -> Column:
-    """The share of trees that vote 1, over an array of features."""
+    """The share of trees that vote 1, over an array of features.
 
-    def vote(t) -> Column:
-        if isinstance(t, float):
-            return F.lit(t)
-        return F.when(x[t[0]] <= t[1], vote(t[2])).otherwise(vote(t[3]))
+    Trees are laid out as complete ones in three literal arrays, node n above nodes 2n and 2n + 1, and walked by the expression, so the
+    plan does not grow with them.
+    """
 
-    total = vote(trees[0])
-    for t in trees[1:]:
-        total = total + vote(t)
+    def depth(t) -> int:
+        return 0 if isinstance(t, float) else 1 + max(depth(t[2]), depth(t[3]))
+
+    deep = max(1, *map(depth, trees))
+    n = 1 << deep
+    feature, limit, leaf = ([v] * (n * len(trees)) for v in (0, float("inf"), 0.0))
+
+    def lay(k: int, node: int, t) -> None:
+        if node >= n:
+            leaf[k * n + node - n] = t
+            return
+        if not isinstance(t, float):
+            feature[k * n + node], limit[k * n + node] = t[0], t[1]
+        for i in (0, 1):
+            lay(k, 2 * node + i, t if isinstance(t, float) else t[2 + i])
+
+    for k, t in enumerate(trees):
+        lay(k, 1, t)
+    text = lambda values, kind: F.split(F.lit(" ".join("Infinity" if v == float("inf") else repr(v) for v in values)), " ").cast(f"array<{kind}>")
+    f, m, leaves = text(feature, "int"), text(limit, "double"), text(leaf, "double")
+
+    def vote(k: Column) -> Column:
+        right = lambda node: F.when(F.get(x, F.get(f, k * n + node)) > F.get(m, k * n + node), 1).otherwise(0)
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(deep)), F.lit(1), lambda node, _: node * 2 + right(node))
+        return F.get(leaves, k * n + end - n)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(len(trees) - 1)), F.lit(0.0), lambda sum_, k: sum_ + vote(k))
     return total / F.lit(float(len(trees)))
 
 
