@@ -322,7 +322,8 @@ def scan(docs: DataFrame, findings: DataFrame | list | None = None, text: str =
     """
     trees = findings if isinstance(findings, list) else train(findings if findings is not None else synthetic_findings(docs.sparkSession))
     d = docs.select("doc_id", F.col(text).alias("text"))
-    found = _scored(d, trees, "text").select("doc_id", F.explode("_found").alias("s"))
+    # Not a plain explode: the filter that it implies would work out all candidates twice.
+    found = _scored(d, trees, "text").select("doc_id", F.explode_outer("_found").alias("s")).filter("s IS NOT NULL")
     c = F.col("s.c")
     start = c["start"].cast("long")
     return found.select("doc_id", start.alias("start"), (start + F.length(c["value"])).alias("end"), c["key"].alias("key"), F.sha2(c["value"].cast("binary"), 256).alias("value_sha256"), F.col("s.p").alias("probability"), (F.col("s.p") >= SECRET).alias("secret"))
