@@ -59,7 +59,7 @@ def read_files(at: ArchiveTables, wanted: DataFrame | None = None, verify: bool
     f = f.filter("entry_type = 'file'").select("file_id", "name", "entry_flags").distinct()
     live = f.filter(F.col("entry_flags").bitwiseAND(REDACTED) == 0)
     spans = at.spans.join(live.select("file_id"), "file_id", "left_semi")
-    blocks = at.payloads if wanted is None else at.payloads.join(spans.select("block_id").distinct(), "block_id", "left_semi")
+    blocks = at.payloads.join(spans.select("block_id").distinct(), "block_id", "left_semi")
     j = spans.join(decoded(blocks, verify), "block_id")
     outside = F.raise_error(F.concat(F.lit("span outside block "), F.col("block_id").cast("string"))).cast("binary")
     piece = F.when(F.col("offset_in_block") + F.col("length") > F.octet_length("raw"), outside).otherwise(F.substring("raw", F.col("offset_in_block").cast("int") + 1, F.col("length").cast("int")))
