@@ -14,6 +14,7 @@ bounded set of typical ones where no reviewed findings are at hand.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,72 +131,95 @@ def parts(word: Column) -> tuple[Column, Column]:
 
 
 def synthetic_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(word, before, after, label): ``n`` typical findings, half of them secrets, from hashes of the row number."""
-    h = lambda s: F.sha2(F.concat(F.lit(f"{s}|"), F.col("id").cast("string")).cast("binary"), 256)
-    num = lambda s, m: (F.conv(F.substring(h(s), 1, 7), 16, 10).cast("long") % m).cast("int")
-    pick = lambda s, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), num(s, len(xs)) + 1)
-    hexa = lambda s, k: F.substring(F.concat(h(s), h(s + "+")), 1, k)
-    b64 = lambda s, k: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(s), h(s + "+")))), r"\s", ""), 1, k)
-    upper = lambda s, k: F.translate(F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(s), h(s + "+")))), "[/+=]", ""), 1, k)), "0189", "2345")
+    """(word, before, after, label): ``n`` typical findings, half of them secrets, from hashes of the row number.
+
+    The cases are data: lists of pieces in a literal array, which one expression spells out. The plan does not grow with them; as
+    nested conditions they were more code than a class can hold, and compiling it in vain took the driver's memory.
+    """
+    lists: list[list[str]] = []
+
+    def pick(seed: str, xs) -> dict:
+        if (xs := list(xs)) not in lists:
+            lists.append(xs)
+        return {"kind": "pick", "seed": seed, "of": lists.index(xs)}
+
+    num = lambda seed, n, least=0: {"kind": "num", "seed": seed, "n": n, "least": least}
+    hexa, b64, plain, upper, letters = ((lambda seed, n, kind=kind: {"kind": kind, "seed": seed, "n": n}) for kind in ("hex", "b64", "plain", "upper", "letters"))
     prose = ("the", "of", "and", "with", "from", "when", "stine", "morel", "we", "for", "see", "der", "una", "les", "tionha", "is", "to", "on")
     key = pick("k", ("password", "passwd", "secret", "api_key", "token", "auth", "pwd", "access_key", "client_secret"))
     quote = pick("q", ("", '"', "'"))
     w1, w2 = pick("w1", WORDS), pick("w2", WORDS)
+    (title1, title2), (upper1, upper2) = ([pick(s, map(f, WORDS)) for s in ("w1", "w2")] for f in (str.capitalize, str.upper))
+    leet1 = pick("w1", (w.translate(str.maketrans("ae", "40")) for w in WORDS))
     sign, sign2 = pick("s1", tuple("!@#$%&*;,")), pick("s2", tuple("!@$%*^~"))
     good = [
-        (F.concat(F.lit("AKIA"), upper("a", 16)), pick("b", prose)),
-        (F.concat(F.lit("AKIA"), upper("a", 16)), pick("b", ("key", "id", "aws", "access", "="))),
-        (F.concat(key, F.lit("="), quote, hexa("v", 18), quote), pick("b", prose)),
-        (F.concat(key, F.lit("="), quote, b64("v", 24), quote), pick("b", prose)),
-        (F.concat(F.lit('"'), hexa("v", 40), F.lit('"')), F.concat(key, F.lit(" ="))),
-        (F.concat(quote, b64("v", 32), quote), F.concat(key, F.lit(":"))),
-        (F.concat(F.lit("ghp_"), F.regexp_replace(b64("v", 44), "[/+=]", "x")), pick("b", prose)),
-        (F.concat(F.lit("sk_live_"), F.regexp_replace(b64("v", 24), "[/+=]", "x")), pick("b", ("stripe", "key", "of", "with"))),
-        (F.concat(key, F.lit(":"), hexa("v", 32)), pick("b", prose)),
-        (F.concat(key, F.lit("="), quote, F.initcap(w1), sign, num("n", 900).cast("string"), sign2, hexa("v", 5), quote), pick("b", prose)),
-        (F.concat(quote, F.initcap(w1), sign, num("n", 900).cast("string"), sign2, hexa("v", 5), quote), F.concat(key, pick("e", (" =", ":")))),
-        (F.concat(key, F.lit("="), F.translate(w1, "ae", "40"), sign, w2, num("n", 900).cast("string")), pick("b", prose)),
-        (F.concat(key, pick("e", ("=", ":")), w1, num("n", 990) + 10, pick("f", ("x", "", "q"))), pick("b", prose)),
-        (F.concat(quote, w1, num("n", 990) + 10, pick("f", ("x", "", "q")), quote), F.concat(key, pick("e", (" =", ":")))),
-        (F.concat(pick("e", ("oauth2_token", "s3_secret", "2fa_token", "db1.password")), F.lit("="), hexa("v", 20)), pick("b", prose)),
-        (F.concat(pick("e", ("postgres", "mysql", "redis", "amqp", "https")), F.lit("://"), w1, F.lit(":"), F.initcap(w2), hexa("v", 6), F.lit("@db.local:5432/app")), pick("b", prose)),
-        (F.concat(F.lit("https://"), w1, F.lit(".example.com/?"), key, F.lit("="), hexa("v", 20), F.lit("&x=1")), pick("b", prose)),
-        (F.concat(F.lit("AKIA"), F.translate(upper("a", 16), "2345", "KWQZ")), pick("b", prose)),
-        (F.concat(F.lit('{"user":"'), w1, F.lit('","'), key, F.lit('":"'), hexa("v", 20), F.lit('"}')), pick("b", prose)),
-        (b64("v", 40), F.concat(pick("b", ("secret", "aws_secret", "bearer", "credential")), pick("e", (" =", ":", "")))),
+        (["AKIA", upper("a", 16)], pick("b", prose)),
+        (["AKIA", upper("a", 16)], pick("b", ("key", "id", "aws", "access", "="))),
+        ([key, "=", quote, hexa("v", 18), quote], pick("b", prose)),
+        ([key, "=", quote, b64("v", 24), quote], pick("b", prose)),
+        (['"', hexa("v", 40), '"'], [key, " ="]),
+        ([quote, b64("v", 32), quote], [key, ":"]),
+        (["ghp_", plain("v", 44)], pick("b", prose)),
+        (["sk_live_", plain("v", 24)], pick("b", ("stripe", "key", "of", "with"))),
+        ([key, ":", hexa("v", 32)], pick("b", prose)),
+        ([key, "=", quote, title1, sign, num("n", 900), sign2, hexa("v", 5), quote], pick("b", prose)),
+        ([quote, title1, sign, num("n", 900), sign2, hexa("v", 5), quote], [key, pick("e", (" =", ":"))]),
+        ([key, "=", leet1, sign, w2, num("n", 900)], pick("b", prose)),
+        ([key, pick("e", ("=", ":")), w1, num("n", 990, 10), pick("f", ("x", "", "q"))], pick("b", prose)),
+        ([quote, w1, num("n", 990, 10), pick("f", ("x", "", "q")), quote], [key, pick("e", (" =", ":"))]),
+        ([pick("e", ("oauth2_token", "s3_secret", "2fa_token", "db1.password")), "=", hexa("v", 20)], pick("b", prose)),
+        ([pick("e", ("postgres", "mysql", "redis", "amqp", "https")), "://", w1, ":", title2, hexa("v", 6), "@db.local:5432/app"], pick("b", prose)),
+        (["https://", w1, ".example.com/?", key, "=", hexa("v", 20), "&x=1"], pick("b", prose)),
+        (["AKIA", letters("a", 16)], pick("b", prose)),
+        (['{"user":"', w1, '","', key, '":"', hexa("v", 20), '"}'], pick("b", prose)),
+        (b64("v", 40), [pick("b", ("secret", "aws_secret", "bearer", "credential")), pick("e", (" =", ":", ""))]),
     ]
     bad = [
         (hexa("v", 40), pick("b", ("commit", "revision", "sha1", "merge commit"))),
         (hexa("v", 32), pick("b", ("md5", "checksum", "etag", "hash"))),
-        (F.concat(F.lit("sha256:"), hexa("v", 64)), pick("b", ("digest", "image", "of"))),
-        (F.concat(hexa("u", 8), F.lit("-"), hexa("v", 4), F.lit("-"), hexa("w", 4), F.lit("-"), hexa("x", 4), F.lit("-"), hexa("y", 12)), pick("b", ("uuid", "id", "request", "the", "session"))),
-        (F.concat(F.lit("/"), w1, F.lit("/"), w2, F.lit("/"), pick("w3", WORDS), num("n", 900).cast("string"), F.lit(".txt")), pick("b", prose)),
-        (F.concat(w1, F.lit("_"), w2, F.lit("_"), num("n", 9000).cast("string")), pick("b", prose)),
-        (F.concat(F.lit("https://"), w1, F.lit(".example.com/"), w2, F.lit("/"), num("n", 99999).cast("string")), pick("b", prose)),
-        (F.concat(num("n", 9000) + 1000, num("m", 9000) + 1000, num("o", 9000) + 1000, num("p", 9000) + 1000), pick("b", (*prose, "card"))),
-        (F.concat(pick("w3", ("version", "release", "build")), F.lit("-"), num("n", 30).cast("string"), F.lit("."), num("m", 30).cast("string"), F.lit("."), num("o", 3000).cast("string"), F.lit("-"), w1), pick("b", prose)),
-        (F.concat(w1, w2, num("n", 3000).cast("string")), pick("b", prose)),
-        (F.concat(F.lit("2024-0"), (num("n", 9) + 1).cast("string"), F.lit("-1"), num("m", 9).cast("string"), F.lit("T10:2"), num("o", 9).cast("string"), F.lit(":00")), pick("b", prose)),
-        (F.concat(key, F.lit("="), pick("w3", ("changeme", "required", "optional", "disabled", "yourpassword", "undefined"))), pick("b", prose)),
-        (F.concat(w1, w2), F.concat(key, pick("e", ("", " of", " for", " is")))),
-        (F.concat(w1, pick("e", ("", ",", "."))), F.concat(key, pick("f", (":", " =")))),
-        (F.concat(key, pick("e", ("=", ":")), pick("f", ("", "$", "self.", "get_")), w1, pick("g", ("", "()", "_", ".")), w2), pick("b", prose)),
-        (F.concat(key, pick("e", ("=${", "={", "=%(")), w1, pick("g", ("", "_", ".")), w2, F.lit("}")), pick("b", prose)),
-        (F.concat(key, pick("e", ("=${", "=$", "=")), F.upper(w1), pick("g", ("_", "_", ".")), F.upper(w2), F.lit("}")), pick("b", prose)),
-        (pick("e", ("Bearer", "Basic", "Digest", "None", "null", "true", "false")), F.concat(key, pick("f", (":", " =")))),
-        (F.concat(w1, F.lit("."), w2, num("n", 9000) + 1000, F.lit("@example.com")), pick("b", (*prose, "mail"))),
-        (F.concat(pick("e", ("ssh", "git", "https")), F.lit("://"), w1, F.lit("@"), w2, F.lit(".example.com/x.git")), pick("b", prose)),
-        (F.concat(F.lit("http://"), w1, F.lit(".local:8080/"), w2, F.lit("/"), pick("w3", WORDS), num("n", 9000).cast("string")), pick("b", prose)),
-        (F.concat(F.lit("+1-555-"), num("n", 900) + 100, F.lit("-"), num("m", 9000) + 1000), pick("b", (*prose, "phone", "tel"))),
+        (["sha256:", hexa("v", 64)], pick("b", ("digest", "image", "of"))),
+        ([hexa("u", 8), "-", hexa("v", 4), "-", hexa("w", 4), "-", hexa("x", 4), "-", hexa("y", 12)], pick("b", ("uuid", "id", "request", "the", "session"))),
+        (["/", w1, "/", w2, "/", pick("w3", WORDS), num("n", 900), ".txt"], pick("b", prose)),
+        ([w1, "_", w2, "_", num("n", 9000)], pick("b", prose)),
+        (["https://", w1, ".example.com/", w2, "/", num("n", 99999)], pick("b", prose)),
+        ([num("n", 9000, 1000), num("m", 9000, 1000), num("o", 9000, 1000), num("p", 9000, 1000)], pick("b", (*prose, "card"))),
+        ([pick("w3", ("version", "release", "build")), "-", num("n", 30), ".", num("m", 30), ".", num("o", 3000), "-", w1], pick("b", prose)),
+        ([w1, w2, num("n", 3000)], pick("b", prose)),
+        (["2024-0", num("n", 9, 1), "-1", num("m", 9), "T10:2", num("o", 9), ":00"], pick("b", prose)),
+        ([key, "=", pick("w3", ("changeme", "required", "optional", "disabled", "yourpassword", "undefined"))], pick("b", prose)),
+        ([w1, w2], [key, pick("e", ("", " of", " for", " is"))]),
+        ([w1, pick("e", ("", ",", "."))], [key, pick("f", (":", " ="))]),
+        ([key, pick("e", ("=", ":")), pick("f", ("", "$", "self.", "get_")), w1, pick("g", ("", "()", "_", ".")), w2], pick("b", prose)),
+        ([key, pick("e", ("=${", "={", "=%(")), w1, pick("g", ("", "_", ".")), w2, "}"], pick("b", prose)),
+        ([key, pick("e", ("=${", "=$", "=")), upper1, pick("g", ("_", "_", ".")), upper2, "}"], pick("b", prose)),
+        (pick("e", ("Bearer", "Basic", "Digest", "None", "null", "true", "false")), [key, pick("f", (":", " ="))]),
+        ([w1, ".", w2, num("n", 9000, 1000), "@example.com"], pick("b", (*prose, "mail"))),
+        ([pick("e", ("ssh", "git", "https")), "://", w1, "@", w2, ".example.com/x.git"], pick("b", prose)),
+        (["http://", w1, ".local:8080/", w2, "/", pick("w3", WORDS), num("n", 9000)], pick("b", prose)),
+        (["+1-555-", num("n", 900, 100), "-", num("m", 9000, 1000)], pick("b", (*prose, "phone", "tel"))),
     ]
-    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int"))
-    kind = F.floor(F.col("id") / 2).cast("int")
-    word, before = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for label, cases in ((1, good), (0, bad)):
-        for i, (w, b) in enumerate(cases):
-            hit = (F.col("label") == label) & (kind % len(cases) == i)
-            word, before = F.when(hit, w.cast("string")).otherwise(word), F.when(hit, b).otherwise(before)
-    return rows.select(word.alias("word"), before.alias("before"), pick("z", prose).alias("after"), "label")
+    after = pick("z", prose)
+    pieces = lambda x: [{"kind": "text", "text": p} if isinstance(p, str) else p for p in (x if isinstance(x, list) else [x])]
+    piece = "array<struct<kind:string,seed:string,n:int,least:int,of:int,text:string>>"
+    cases = F.from_json(F.lit(json.dumps([[pieces(w), pieces(b), pieces(after)] for w, b in good + bad])), f"array<array<{piece}>>")
+    choices = F.from_json(F.lit(json.dumps(lists)), "array<array<string>>")
+
+    def spelled(p: Column) -> Column:
+        h = lambda s: F.sha2(F.concat_ws("|", s, F.col("id").cast("string")).cast("binary"), 256)
+        at = lambda m: (F.conv(F.substring(h(p["seed"]), 1, 7), 16, 10).cast("long") % m).cast("int")
+        two = F.concat(h(p["seed"]), h(F.concat(p["seed"], F.lit("+"))))
+        text = F.regexp_replace(F.base64(F.unhex(two)), r"\s", "")
+        first = lambda s: F.substring(s, F.lit(1), p["n"])
+        capital = F.translate(F.upper(first(F.regexp_replace(text, "[/+=]", ""))), "0189", "2345")
+        of = F.get(choices, p["of"])
+        spell = {"text": p["text"], "pick": F.get(of, at(F.size(of))), "num": (at(p["n"]) + p["least"]).cast("string"), "hex": first(two), "b64": first(text), "plain": F.translate(first(text), "/+=", "xxx"), "upper": capital, "letters": F.translate(capital, "2345", "KWQZ")}
+        return F.coalesce(*[F.when(p["kind"] == kind, x) for kind, x in spell.items()])
+
+    label, kind = (F.col("id") % 2).cast("int"), F.floor(F.col("id") / 2).cast("int")
+    case = F.get(cases, F.when(label == 1, kind % len(good)).otherwise(len(good) + kind % len(bad)))
+    words = F.transform(case, lambda ps: F.array_join(F.transform(ps, spelled), ""))
+    found = spark.range(n).select(words.alias("x"), label.alias("label"))
+    return found.select(*[F.get("x", i).alias(name) for i, name in enumerate(("word", "before", "after"))], "label")
 
 
 def train(findings: DataFrame) -> list:
