@@ -80,3 +80,29 @@ def test_lanes_equal_brute_force(data):
     for width in (8, 32, 64):
         want = [min(((int(hashing.h64([s], 42)[0]) + i * int(hashing.h64([s], 43)[0])) % 2**64 for s in shingles), default=2**64 - 1) % 2**width for i in range(5)]
         assert lanes(data, 5, width).tolist() == want
+
+
+def sizes_at_once(codec):
+    """What a kernel with the codec takes at once of a full batch of rows, and its decoded results."""
+    import pyarrow as pa
+
+    from tessera.functions import udfs
+
+    rows = [b"", None, bytes(3 << 20), *[str(i).encode() * 200 for i in range(10_000)]]
+    seen = []
+
+    def run(s):
+        seen.append([len(x) for x in s])
+        return pa.array([codecs.decompress(codecs.compressor(codec)(x), codec, len(x)) for x in s], pa.binary())
+
+    out = udfs.piecewise(run)(iter([pa.array(rows, pa.binary())]))
+    first = next(out)
+    assert len(seen) == 1  # a piece is handed on before the next is read
+    got = [x for a in [first, *out] for x in a.to_pylist()]
+    assert got == [x or b"" for x in rows]
+    return seen
+
+
+def test_zstd_takes_a_batch_in_pieces():
+    seen = sizes_at_once("zstd")
+    assert len(seen) > 5 and all(len(s) == 1 or sum(s) <= 2 << 20 and len(s) <= 1024 for s in seen)
