@@ -106,3 +106,8 @@ def sizes_at_once(codec):
 def test_zstd_takes_a_batch_in_pieces():
     seen = sizes_at_once("zstd")
     assert len(seen) > 5 and all(len(s) == 1 or sum(s) <= 2 << 20 and len(s) <= 1024 for s in seen)
+
+
+def test_gzip_takes_a_batch_in_pieces():
+    seen = sizes_at_once("gzip")
+    assert len(seen) > 5 and all(len(s) == 1 or sum(s) <= 2 << 20 and len(s) <= 1024 for s in seen)
