@@ -87,3 +87,33 @@ def test_streaming(spark, tmp_path):
     assert spark.table("totals").selectExpr("sum(n_files) AS n").first().n == docs.count()
     ingest.index_batches(s, f"{tmp_path}/idx", f"{tmp_path}/cp", num_hashes=4).awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/idx").count() == docs.count()
+
+
+def lanes_and_pairs(spark, bit_width):
+    """Sketches of few values with lanes of all ones, and the scores of all pairs by brute force."""
+    import random
+
+    from tessera.operators import minhash
+
+    r = random.Random(3)
+    none = minhash.empty_lane(bit_width)
+    rows = [(i, [r.choice([-5, 1, 2, 3, none]) for _ in range(4)]) for i in range(40)] + [(40, [none] * 4), (41, None)]
+    index = spark.createDataFrame(rows, "file_id long, sketch array<bigint>").repartition(3)
+    queries = index.filter("file_id % 5 = 0").selectExpr("file_id AS query", "sketch")
+    scores = {(q, f): sum(x == y != none for x, y in zip(a, b)) / 4 for q, a in rows if q % 5 == 0 for f, b in rows if a and b}
+    return index, queries, {k: v for k, v in scores.items() if v > 0}
+
+
+@pytest.mark.parametrize("bit_width", [32, 64])
+def test_search_counts_lanes_in_blocks_without_a_shuffle(spark, monkeypatch, bit_width):
+    from tessera.operators import minhash
+
+    index, queries, want = lanes_and_pairs(spark, bit_width)
+    for at_once in (3, 4096):
+        monkeypatch.setattr(minhash, "LANE_QUERIES", at_once, raising=False)
+        found = minhash.search_all(index, queries, 4, bit_width)
+        assert sorted((r.query, r.file_id, r.score) for r in found.collect()) == sorted((q, f, s) for (q, f), s in want.items())
+        assert {(r.query, r.file_id) for r in minhash.search_all(index, queries, 4, bit_width, 0.5).collect()} == {k for k, s in want.items() if s > 0.5}
+    plan = minhash.search_all(index, queries, 4, bit_width)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert minhash.search_all(index, queries.limit(0), 4, bit_width).collect() == []
