@@ -117,3 +117,12 @@ def test_search_counts_lanes_in_blocks_without_a_shuffle(spark, monkeypatch, bit
     plan = minhash.search_all(index, queries, 4, bit_width)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert minhash.search_all(index, queries.limit(0), 4, bit_width).collect() == []
+
+
+def test_search_makes_each_sketch_once(spark):
+    from tessera.operators import minhash
+
+    files = spark.createDataFrame([(i, f"f{i}", "file", bytes([i]) * 20) for i in range(4)], "file_id long, name string, entry_type string, content binary")
+    _, queries, _ = lanes_and_pairs(spark, 64)
+    plan = minhash.search_all(minhash.build(files, 4), queries, 4, 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
