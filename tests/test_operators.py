@@ -126,3 +126,15 @@ def test_search_makes_each_sketch_once(spark):
     _, queries, _ = lanes_and_pairs(spark, 64)
     plan = minhash.search_all(minhash.build(files, 4), queries, 4, 64)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 1
+
+
+def test_best_of_a_search_are_cut_in_its_tasks(spark, monkeypatch):
+    from tessera.operators import minhash
+
+    index, queries, scores = lanes_and_pairs(spark, 64)
+    want = sorted((q, f, s) for q in {q for q, _ in scores} for s, f in [(-s, f) for s, f in sorted((-s, f) for (x, f), s in scores.items() if x == q)[:3]])
+    for at_once in (3, 4096):
+        monkeypatch.setattr(minhash, "LANE_QUERIES", at_once)
+        handed = minhash.search_all(index, queries, 4, 64, top_n=3)
+        assert sorted((r.query, r.file_id, r.score) for r in minhash.best(handed, 3).collect()) == want
+        assert max(r["count"] for r in handed.groupBy("query").count().collect()) <= 3 * index.rdd.getNumPartitions()
