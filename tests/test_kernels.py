@@ -111,3 +111,16 @@ def test_zstd_takes_a_batch_in_pieces():
 def test_gzip_takes_a_batch_in_pieces():
     seen = sizes_at_once("gzip")
     assert len(seen) > 5 and all(len(s) == 1 or sum(s) <= 2 << 20 and len(s) <= 1024 for s in seen)
+
+
+@pytest.mark.parametrize("num_hashes", [4, 128])
+def test_sketches_are_made_in_pieces(num_hashes):
+    import pyarrow as pa
+
+    from tessera.functions import udfs
+    from tessera.operators import minhash
+
+    rows = [b"", None, b"abc", *[str(i).encode() * 20 for i in range(1500)]]
+    made = list(udfs.piecewise(lambda s: minhash.sketches(s, num_hashes, 32, 42))(iter([pa.array(rows, pa.binary())])))
+    assert len(made) == 2 and max(map(len, made)) == udfs.ROWS
+    assert [x for a in made for x in a.to_pylist()] == [minhash.lanes(x or b"", num_hashes, 32, 42).tolist() for x in rows]
