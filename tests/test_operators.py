@@ -138,3 +138,30 @@ def test_best_of_a_search_are_cut_in_its_tasks(spark, monkeypatch):
         handed = minhash.search_all(index, queries, 4, 64, top_n=3)
         assert sorted((r.query, r.file_id, r.score) for r in minhash.best(handed, 3).collect()) == want
         assert max(r["count"] for r in handed.groupBy("query").count().collect()) <= 3 * index.rdd.getNumPartitions()
+
+
+def test_nearest_vectors_in_small_steps(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(i, [float(r.choice([-1, 0, 1])) for _ in range(2)]) for i in range(400)] + [(400, None), (401, [1.0, 2.0, 3.0]), (402, [3.0, 2.0, 1.0]), (403, [float("nan"), 1.0])]
+    d = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    asked = d.filter("id % 50 = 0 OR id = 401").selectExpr("id AS query", "v AS vector")
+    whole = {i: np.array(v) for i, v in rows if v}
+    want = []
+    for q in [i for i in whole if i % 50 == 0 or i == 401]:
+        a = []
+        for f, v in whole.items():
+            if len(v) == len(whole[q]):
+                scale = np.linalg.norm(whole[q]) * np.linalg.norm(v)
+                s = 0.0 if scale < 1e-8 else float(whole[q] @ v / scale)
+                a.append((-2.0 if np.isnan(s) else -round(s, 6), f))  # NaN is the greatest
+        want += [(q, f, -s) for s, f in sorted(a)[:7]]
+    for at_once in (2, 4096):
+        monkeypatch.setattr(vectors, "BLOCK", at_once)
+        # Rounded, so that ties don't depend on the last bit.
+        got = [(x.query, x.id, 2.0 if np.isnan(x.similarity) else round(x.similarity, 6)) for x in vectors.top_k(d, asked, "id", "v", 7).collect()]
+        assert sorted((q, s) for q, _, s in got) == sorted((q, s) for q, _, s in want)
+        assert sum(s == 2.0 for _, _, s in got) == 8 and {f for q, f, _ in got if q == 401} == {401, 402}
