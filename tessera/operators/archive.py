@@ -160,32 +160,35 @@ def build_archive(entries: DataFrame, options: WriteOptions | None = None) -> Ar
     """The archive tables of ``entries``.
 
     Files are numbered by name, equal files share spans if asked for, content is cut into blocks that
-    never mix files, blocks are encoded and checksummed as stored, and laid out in id order. Numbered entries and
-    encoded blocks are kept in the shared folder, so every file is read and every block encoded once.
+    never mix files, blocks are encoded and checksummed as stored, and laid out in id order. Entries, their numbers and
+    encoded blocks are kept in the shared folder, so every file is read and every block encoded once. Content is shuffled once, to its blocks;
+    files are numbered, compared and listed without it.
     """
     o = options or WriteOptions()
-    e = number_files(entries)
-    e = e.withColumn("digest", F.sha2(F.coalesce("content", F.lit(b"")), 256))
+    given = storable(entries).withColumn("digest", F.sha2(F.coalesce("content", F.lit(b"")), 256))
+    sha256 = F.when(F.col("content").isNotNull(), F.unhex("digest"))
+    hashed = (sha256 if o.hash_algo == "sha256" else udfs.file_hash(F.col("content"), o.hash_algo)) if o.hashes else F.lit(None).cast("binary")
+    given = keep(given.withColumn("hash", hashed).withColumn("_row", F.monotonically_increasing_id()), "entries")
+    e = in_order(given.drop("content"), ["name"], "file_id")
     if o.dedup:
         e = canonical_files(e)
     else:
         e = e.withColumn("canonical_id", F.col("file_id"))
-    e = keep(e, "entries")
+    e = keep(e, "files")
     shared = F.when(F.col("canonical_id") != F.col("file_id"), int(EntryFlag.SHARED_SPANS)).otherwise(0)
     is_file = F.col("entry_type") == "file"
     has_hash = is_file if o.hashes else F.lit(False)
     stamp = lambda c: (F.col(c) if o.posix else F.lit(None)).cast("long")
     owner = (F.lit(0) if o.posix else F.lit(None)).cast("long")
-    hashed = udfs.file_hash(F.col("content"), o.hash_algo) if o.hashes else F.lit(None).cast("binary")
     files = e.select(
         "file_id", "name", "entry_type", (shared + F.when(has_hash, int(EntryFlag.STRONG_HASH)).otherwise(0)).alias("entry_flags"), "logical_size",
         owner.alias("uid"), owner.alias("gid"), stamp("mode").alias("mode"), stamp("mtime").alias("mtime"), stamp("mtime").alias("atime"), stamp("mtime").alias("ctime"),
-        "symlink_target", F.when(has_hash, hashed).alias("hash"),
+        "symlink_target", F.when(has_hash, F.col("hash")).alias("hash"),
     )
     planned = plan_blocks(e.select("file_id", "entry_type", "logical_size", "canonical_id"), o)
     spans = spans_of(e.select("file_id", "entry_type", "canonical_id"), chunks(planned, o))
     size = F.lit(o.block_size) if o.multiblock else F.greatest(F.octet_length("content"), F.lit(1))
-    raw = planned.join(e.select("file_id", "content"), "file_id")
+    raw = planned.join(e.select("file_id", "_row"), "file_id").join(given.select("_row", "content"), "_row")
     raw = raw.select("first_block", "content", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("k"))
     raw = raw.select((F.col("first_block") + F.col("k")).alias("block_id"), F.substring("content", F.col("k") * size + 1, size).alias("raw")) if o.multiblock else raw.select(F.col("first_block").alias("block_id"), F.col("content").alias("raw"))
     blocks = raw.select("block_id", F.octet_length("raw").cast("long").alias("raw_size"), udfs.encoded(F.col("raw"), o.codec, o.level, o.checksum).alias("_e"))

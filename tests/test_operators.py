@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from tessera.functions import fmt, paths
@@ -165,3 +167,14 @@ def test_nearest_vectors_in_small_steps(spark, monkeypatch):
         got = [(x.query, x.id, 2.0 if np.isnan(x.similarity) else round(x.similarity, 6)) for x in vectors.top_k(d, asked, "id", "v", 7).collect()]
         assert sorted((q, s) for q, _, s in got) == sorted((q, s) for q, _, s in want)
         assert sum(s == 2.0 for _, _, s in got) == 8 and {f for q, f, _ in got if q == 401} == {401, 402}
+
+
+def test_files_are_numbered_without_their_content(spark):
+    import hashlib
+
+    e = spark.createDataFrame([(n, "file", c, 420, 7, None) for n, c in (("b", b"x" * 30), ("a", b"x" * 30), ("c", b""))], "name string, entry_type string, content binary, mode long, mtime long, symlink_target string")
+    at = ar.build_archive(e, ar.WriteOptions(block_size=8, dedup=True))
+    kept = spark.read.parquet(*[os.path.dirname(f) for f in at.files.inputFiles()[:1]])
+    assert "file_id" in kept.columns and "content" not in kept.columns
+    assert [(r.name, bytes(r.hash)) for r in at.files.orderBy("file_id").collect()] == [(n, hashlib.sha256(c).digest()) for n, c in (("a", b"x" * 30), ("b", b"x" * 30), ("c", b""))]
+    assert {r.name: bytes(r.content) for r in content.read_files(at).collect()} == {"a": b"x" * 30, "b": b"x" * 30, "c": b""}
